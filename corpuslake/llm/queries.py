@@ -6,15 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import bpe_lexicon, sharding, token_counts
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe_lexicon.digests(bpe_lexicon.round_trip(docs, vocabulary("byte_bpe_50k.json")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding}
+    return {"op1_sharding": op1_sharding, "op2_bpe_lexicon": op2_bpe_lexicon, "op7_token_counts": op7_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
