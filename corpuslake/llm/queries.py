@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, sharding, token_counts
+from . import bpe_lexicon, pii, sharding, simhash, token_counts, token_output
+from .common import scratch_path
 
 
 def vocabulary(name: str) -> str:
@@ -24,12 +25,27 @@ def op2_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.digests(bpe_lexicon.round_trip(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_output.write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_output.read_ids(spark, path, ids=False)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_bpe_lexicon": op2_bpe_lexicon, "op7_token_counts": op7_token_counts}
+    found = [op1_sharding, op2_bpe_lexicon, op5_simhash, op7_token_counts, op8_token_output, op9_pii]
+    return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
