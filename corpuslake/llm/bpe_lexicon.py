@@ -28,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
@@ -279,11 +279,12 @@ def round_trip(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS) -> D
     return encode(docs, vocabulary, build_lexicon(docs, vocabulary, size), decode_too=True)
 
 
-def digests(trip: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the comma-joined ids and of the decoded text."""
+def digests(trip: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, n_tokens, the SHA-256 of the comma-joined ids and of the decoded text, then ``more``."""
     return trip.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *more,
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_lexicon, pii, sharding, simhash, token_counts, token_output
+from . import bpe_lexicon, mixing, pii, posting_lists, quality_knn, quality_rules, sharding, simhash, token_counts, token_output
 from .common import scratch_path
 
 
@@ -25,10 +26,26 @@ def op2_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.digests(bpe_lexicon.round_trip(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality_knn.score(docs, quality_knn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return quality_rules.measure(docs, quality_rules.fit_ratios(docs, trusted))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model"))
 
@@ -43,8 +60,23 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_bpe_lexicon, op5_simhash, op7_token_counts, op8_token_output, op9_pii]
+    found = [
+        op1_sharding,
+        op2_bpe_lexicon,
+        op3_mixing,
+        op4_quality_knn,
+        op5_simhash,
+        op6_quality_rules,
+        op7_token_counts,
+        op8_token_output,
+        op9_pii,
+        op10_posting_lists,
+    ]
     return {query.__name__: query for query in found}
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, map_batches, stored
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of a tile; a pair of tiles takes about TILE * STRIP * 9 bytes to compare.
@@ -155,3 +155,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     names = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = known.join(names, "component").select(F.col("fp").alias("print"), "component_id")
     return prints.join(named, F.col("fp") == F.col("print")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """The first row of each group of near-duplicates in the order that ``docs`` is stored in, columns unchanged.
+
+    Rows are told apart by their place, so null and repeated doc_ids lose no group.
+    """
+    names = [f"col_{i}" for i in range(len(docs.columns))]
+    placed = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), F.monotonically_increasing_id().alias("row"))
+    placed = stored(placed, "dedup")
+    text = names[docs.columns.index("text")]
+    groups = near_duplicates(placed.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), width, radius, seed)
+    first = groups.where("doc_id = component_id").select("doc_id")
+    left = placed.join(first, F.col("row") == F.col("doc_id"), "left_semi")
+    return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

@@ -27,6 +27,32 @@ def once(key: str, make: Callable[[], Any]) -> Any:
     return _parsed[key]
 
 
+class Memo(dict):
+    """What :meth:`make` gave for the keys met lately, in two generations: a full one becomes the older, which is then asked before making anew.
+
+    Holds ``2 * SIZE`` entries at most, none for keys of over ``LONGEST`` characters; that bears on speed only.
+    """
+
+    SIZE, LONGEST = 300_000, 64
+
+    def __init__(self) -> None:
+        self.older: dict = {}
+
+    def make(self, key: str) -> Any:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> Any:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.SIZE:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next free code point from 256."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -34,6 +60,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Bits that an id takes where several numbers are packed in one.
+ID_BITS = 20
+
+
 class ByteLevelBpe:
     """Ids, merge ranks and bytes of a byte-level BPE file in the JSON form of the tokenizers library."""
 
