@@ -1,0 +1 @@
+"""Search and measurement of document collections over whole tables of documents and questions."""
