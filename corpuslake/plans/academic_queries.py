@@ -1,2 +1,293 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Classification, extraction, chunks, routing, graph and coverage over pages built from the star schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslake.functions import metadata as md
+from corpuslake.functions import params
+from corpuslake.operators import chunk, classify, coverage, generate, graph, metrics, route
+from corpuslake.sources import chunks as chunk_table
+from corpuslake.sources import intake, synth
+
+from .registry import Query, table
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            SQL[name] = sql
+        return query
+
+    return add
+
+
+SYLLABI = """
+    syl AS (SELECT s_suppkey, 'syl-' || s_suppkey AS document_id, n_name, r_name,
+        n_name || ' Studies Syllabus' || chr(10) || r_name || ' University' || chr(10) || 'Bachelor of Computer Science' || chr(10) || 'Semester ' || (s_suppkey % 8 + 1) || chr(10) || 'CSC-' || (s_suppkey % 900 + 100) || chr(10)
+        || string_agg('Unit ' || ((p_partkey - 1) % 4 + 1) || ': ' || p_name || chr(10) || 'On ' || p_type || '.', chr(10) ORDER BY p_partkey) AS text
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON p_partkey > 0 AND (p_partkey - 1) // 4 + 1 = s_suppkey GROUP BY s_suppkey, n_name, r_name)"""
+PAPERS = """
+    papers AS (SELECT 'paper-' || o_orderkey AS document_id, 'Studies of Priority ' || o_orderpriority || chr(10) || 'Full Marks: 60' || chr(10) || 'Examination ' || year(o_orderdate) || chr(10)
+        || string_agg('Q' || l_linenumber || '. Explain ' || p_name || '. (' || (l_partkey % 9 + 2) || ' marks)', chr(10) ORDER BY l_linenumber, p_name, l_partkey) AS text
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey, o_orderpriority, o_orderdate)"""
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [synth.syllabus_pages(spark, sf_dir), synth.paper_pages(spark, sf_dir), synth.book_pages(spark, sf_dir)]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def typed(pages: DataFrame) -> DataFrame:
+    """(document_id, ingest_seq, text, first_page, document_type): pages joined and classified."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    docs = pages.groupBy("document_id", "ingest_seq").agg(ordered.alias("p"))
+    rows = docs.select("document_id", "ingest_seq", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), F.get("p", F.lit(0))["text"].alias("first_page"))
+    return rows.withColumn("scores", classify.scores(F.col("text"))).withColumn("document_type", classify.pick_type(F.col("scores"))).drop("scores")
+
+
+def sql_score(kind: str) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN {w} ELSE 0 END" for p, w in classify.FEATURES[kind])
+
+
+CLASSIFY = "CASE WHEN greatest({g}) < 3 THEN 'unknown' {w} END".format(
+    g=", ".join(classify.PRIORITY), w=" ".join(f"WHEN {k} = greatest({', '.join(classify.PRIORITY)}) THEN '{k}'" for k in classify.PRIORITY)
+)
+
+
+@register(
+    "classify_documents",
+    f"""WITH {SYLLABI}, {PAPERS}, books AS (SELECT 'book-' || ((p_partkey - 1) // 4 + 1) AS document_id,
+            'The Book of ' || ((p_partkey - 1) // 4 + 1) || chr(10) || 'by Jane Doe' || chr(10) || 'ISBN 1' || chr(10) || string_agg('Chapter ' || ((p_partkey - 1) % 4 + 1) || ': ' || p_name || chr(10) || 'About it.' || chr(10) || ((p_partkey - 1) % 4 + 1) || '.1 ' || p_type || chr(10) || 'More of it.', chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY (p_partkey - 1) // 4 + 1),
+        texts AS (SELECT document_id, text FROM syl UNION ALL SELECT * FROM papers UNION ALL SELECT * FROM books),
+        scored AS (SELECT document_id, {", ".join(f"{sql_score(k)} AS {k}" for k in classify.PRIORITY)} FROM texts),
+        typed AS (SELECT document_id, {CLASSIFY} AS document_type FROM scored)
+        SELECT document_id, document_type, CASE document_type WHEN 'library_book' THEN 'library' WHEN 'past_question' THEN 'past_questions' ELSE 'academic' END AS collection FROM typed""",
+)
+def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed(pages_of(spark, sf_dir)).select("document_id", "document_type", classify.collection_for(F.col("document_type")).alias("collection"))
+
+
+@register(
+    "syllabus_metadata",
+    f"""WITH {SYLLABI} SELECT document_id, n_name || ' Studies Syllabus' AS title, n_name || ' Studies' AS subject, r_name || ' University' AS university, 'Bachelor of Computer Science' AS program,
+        (s_suppkey % 8 + 1)::INTEGER AS semester, 'CSC-' || (s_suppkey % 900 + 100) AS subject_code FROM syl""",
+)
+def syllabus_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = typed(synth.syllabus_pages(spark, sf_dir))
+    found = md.metadata(F.col("text"), F.col("first_page"), F.col("document_type"))
+    return docs.select("document_id", *(found[c].alias(c) for c in ("title", "subject", "university", "program", "semester", "subject_code")))
+
+
+@register("paper_questions", "SELECT 'paper-' || l_orderkey AS document_id, l_linenumber::INTEGER AS question_number, 'Explain ' || p_name || '.' AS text, (l_partkey % 9 + 2)::INTEGER AS marks FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey")
+def paper_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.questions(synth.paper_pages(spark, sf_dir)).select("document_id", "question_number", "text", "marks")
+
+
+@register("question_topics", "SELECT l_orderkey, l_linenumber, p_name AS topic FROM lineitem JOIN part ON l_partkey = p_partkey")
+def question_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select("l_orderkey", "l_linenumber", md.question_topic(F.concat(F.lit("Explain "), "p_name", F.lit(", briefly"))).alias("topic"))
+
+
+@register("syllabus_topics", f"WITH {SYLLABI} SELECT DISTINCT document_id, p_name AS topic FROM syl JOIN part ON p_partkey > 0 AND (p_partkey - 1) // 4 + 1 = s_suppkey")
+def syllabus_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.syllabus_pages(spark, sf_dir).select("document_id", F.explode(generate.syllabus_topics(F.col("text"))).alias("topic"))
+
+
+@register(
+    "book_chapters",
+    """SELECT 'book-' || ((p_partkey - 1) // 4 + 1) AS document_id, ((p_partkey - 1) % 4 + 1)::INTEGER AS chapter_number, p_name AS title, p_type AS subtopics FROM part""",
+)
+def book_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = typed(synth.book_pages(spark, sf_dir))
+    rows = generate.chapter_subtopics(generate.chapters(docs), generate.subtopics(docs))
+    return rows.select("document_id", "chapter_number", "title", F.array_join("subtopics", "|").alias("subtopics"))
+
+
+@register(
+    "page_profile",
+    f"""WITH {PAPERS} SELECT document_id, 1::BIGINT AS page_count, length(trim(text)) AS total_chars, CASE WHEN length(trim(text)) >= 20 THEN 1 ELSE 0 END::BIGINT AS text_pages,
+        CASE WHEN length(trim(text)) >= 20 THEN 'text' ELSE 'ocr' END AS route FROM papers""",
+)
+def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = intake.page_profile(synth.paper_pages(spark, sf_dir))
+    return profile.select("document_id", "page_count", "total_chars", "text_pages", intake.extraction_route(F.col("text_ratio")).alias("route"))
+
+
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syllabi and past papers with the columns that the graph is drawn from."""
+    docs = typed(synth.syllabus_pages(spark, sf_dir).unionByName(synth.paper_pages(spark, sf_dir)))
+    found = md.metadata(F.col("text"), F.col("first_page"), F.col("document_type"))
+    asked = generate.questions(docs).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", "question_number", "text", "marks"))).alias("q"))
+    is_syllabus = F.col("document_type") == "syllabus"
+    empty = F.array().cast("array<string>")
+    rows = docs.select("document_id", F.when(is_syllabus, F.col("ingest_seq")).otherwise(F.col("ingest_seq") + 1_000_000_000).alias("ingest_seq"), "document_type", *(c.alias(n) for n, c in found.items()), F.when(is_syllabus, generate.syllabus_topics(F.col("text"))).otherwise(empty).alias("topics"), empty.alias("subtopics"), F.lit(None).cast("string").alias("subtopic"))
+    rows = rows.join(asked, "document_id", "left").withColumn("questions", F.when(F.col("document_type") == "past_question", F.col("q"))).drop("q")
+    first = md.question_topic(F.get("questions", F.lit(0))["text"])
+    return rows.withColumn("topic", F.when(F.col("document_type") == "past_question", first).otherwise(F.get("topics", F.lit(0))))
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = graph.extract(structured(spark, sf_dir).persist())  # each label and edge kind reads it once
+    return graph.merge(nodes.persist(), edges.persist())
+
+
+GRAPH_SQL = """
+    syll AS (SELECT s_suppkey, lower(r_name) || ' university' AS uni, 'sem:' || (s_suppkey % 8 + 1) AS sem, lower(n_name) || ' studies' AS subject FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey > 0 AND (p_partkey - 1) // 4 + 1 = s_suppkey)),
+    topics AS (SELECT DISTINCT subject, lower(p_name) AS topic FROM syll JOIN part ON p_partkey > 0 AND (p_partkey - 1) // 4 + 1 = s_suppkey),
+    printed AS (SELECT l_orderkey, l_linenumber, o_orderpriority, p_name, 'Explain ' || p_name || '. (' || (l_partkey % 9 + 2) || ' marks)' AS line FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey),
+    asks AS (SELECT DISTINCT l_orderkey, l_linenumber, o_orderpriority, lower(first_value(p_name) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line)) AS about FROM printed),
+    paper_subjects AS (SELECT DISTINCT 'studies of priority ' || lower(o_orderpriority) AS subject FROM asks),
+    edges AS (
+        SELECT DISTINCT 'HAS_PROGRAM' AS type, uni AS a, 'bachelor of computer science' AS b FROM syll
+        UNION SELECT DISTINCT 'HAS_SEMESTER', 'bachelor of computer science', sem FROM syll
+        UNION SELECT DISTINCT 'HAS_SUBJECT', sem, subject FROM syll
+        UNION SELECT 'HAS_TOPIC', subject, topic FROM topics
+        UNION SELECT DISTINCT 'HAS_QUESTION', 'studies of priority ' || lower(o_orderpriority), 'paper-' || l_orderkey || ':' || l_linenumber FROM asks
+        UNION SELECT DISTINCT 'ABOUT', 'paper-' || l_orderkey || ':' || l_linenumber, about FROM asks WHERE about IN (SELECT topic FROM topics))"""
+
+
+@register("graph_edges", f"WITH {GRAPH_SQL} SELECT type, a AS start_key, b AS end_key FROM edges")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_graph(spark, sf_dir)[1].select("type", "start_key", "end_key")
+
+
+@register(
+    "graph_summary",
+    f"""WITH {GRAPH_SQL}, found AS (
+        SELECT 'edge' AS kind, type AS name, count(*) AS n FROM edges GROUP BY type
+        UNION ALL SELECT 'node', 'University', count(DISTINCT uni) FROM syll UNION ALL SELECT 'node', 'Program', 1 UNION ALL SELECT 'node', 'Semester', count(DISTINCT sem) FROM syll
+        UNION ALL SELECT 'node', 'Subject', (SELECT count(DISTINCT subject) FROM syll) + (SELECT count(*) FROM paper_subjects) UNION ALL SELECT 'node', 'Topic', count(DISTINCT topic) FROM topics
+        UNION ALL SELECT 'node', 'PastQuestion', count(*) FROM asks UNION ALL SELECT 'node', 'Subtopic', 0 UNION ALL SELECT 'edge', 'HAS_SUBTOPIC', 0) SELECT kind, name, n::BIGINT AS n FROM found""",
+)
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.summary(*stored_graph(spark, sf_dir))
+
+
+@register("hop_topics_of_subject", f"WITH {GRAPH_SQL} SELECT n_nationkey::BIGINT AS query_id, topic AS key FROM nation JOIN topics ON subject = lower(n_name) || ' studies'")
+def hop_topics_of_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat("n_name", F.lit(" Studies")).alias("value"))
+    return graph.hop("topics_of_subject", asked, *stored_graph(spark, sf_dir)).select("query_id", "key")
+
+
+@register(
+    "graph_answers",
+    f"""WITH {GRAPH_SQL}, names AS (SELECT lower(n_name) || ' studies' AS subject, n_name || ' Studies' AS name FROM nation),
+        q AS (SELECT p_partkey AS query_id, p_partkey % 6 AS kind, 'sem:' || (p_partkey % 8 + 1) AS sem, lower(p_name) AS topic FROM part WHERE p_partkey % 6 IN (0, 1, 4)),
+        texts AS (SELECT 'paper-' || l_orderkey || ':' || l_linenumber AS key, arg_max('Explain ' || p_name || '.', line) AS name FROM printed GROUP BY l_orderkey, l_linenumber),
+        found AS (SELECT query_id, 'subjects_in_semester' AS intent, b AS key, name FROM q JOIN edges ON type = 'HAS_SUBJECT' AND a = sem JOIN names ON subject = b WHERE kind = 1
+            UNION ALL SELECT query_id, 'questions_about_topic', a, name FROM q JOIN edges ON type = 'ABOUT' AND b = topic JOIN texts ON key = a WHERE kind = 4),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name, key) AS rank FROM found)
+        SELECT query_id, intent, rank, key, name, round(greatest(1 - 0.01e0 * (rank - 1), 0.9e0), 6) AS score FROM ranked WHERE rank <= 5""",
+)
+def graph_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = route.plan(synth.questions(spark, sf_dir)).where("strategy = 'GRAPH'")
+    return graph.graph_hits(plans, *stored_graph(spark, sf_dir), 5)
+
+
+QUESTIONS = """
+    q AS (SELECT p_partkey AS query_id, p_partkey % 6 AS kind, CASE p_partkey % 6 WHEN 0 THEN 'GRAPH' WHEN 1 THEN 'GRAPH' WHEN 2 THEN 'HYBRID' WHEN 3 THEN 'WEB' WHEN 4 THEN 'GRAPH' ELSE 'NORMAL' END AS strategy, p_name, p_partkey FROM part)"""
+
+
+@register(
+    "route_plan",
+    f"""WITH {QUESTIONS} SELECT query_id, strategy, CASE kind WHEN 0 THEN 'topics_of_subject' WHEN 1 THEN 'subjects_in_semester' WHEN 4 THEN 'questions_about_topic' END AS intent,
+        CASE WHEN kind IN (0, 4) THEN p_name END AS entity, CASE WHEN kind = 1 THEN (p_partkey % 8 + 1)::INTEGER END AS semester, CASE WHEN kind = 2 THEN 'rules_regulations' END AS type_filter,
+        kind = 2 AS rerank, CASE strategy WHEN 'WEB' THEN 0.9e0 WHEN 'NORMAL' THEN 0.7e0 ELSE 1e0 END AS confidence FROM q""",
+)
+def route_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = route.plan(synth.questions(spark, sf_dir))
+    return plans.select("query_id", "strategy", "intent", "entity", "semester", F.col("filters")["document_type"].alias("type_filter"), "rerank", "confidence")
+
+
+@register("route_metrics", "SELECT count(*) AS n, 1e0 AS accuracy, 0e0 AS false_rate, 0e0 AS fallback_rate FROM part")
+def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.routing_metrics(route.plan(synth.questions(spark, sf_dir)).withColumn("used_fallback", F.col("fallback")))
+
+
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pages_of(spark, sf_dir).persist()
+    docs = typed(pages).persist()  # each document type's branch reads it
+    found = md.metadata(F.col("text"), F.col("first_page"), F.col("document_type"))
+    meta = docs.select("document_id", "document_type", *(found[c].alias(c) for c in ("title", "author", "semester", "subject", "subject_code", "academic_year")), F.lit(None).cast("int").alias("marks"), F.lit(None).cast("int").alias("question_number"))
+    topics = docs.where("document_type = 'syllabus'").select("document_id", F.explode(generate.syllabus_topics(F.col("text"))).alias("topic"))
+    rows = chunk.blocks(pages.join(docs.select("document_id", "document_type"), "document_id"), topics)
+    return chunk.chunk(rows, meta)
+
+
+@register("chunk_pages")
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked(spark, sf_dir)
+
+
+@register("chunk_documents")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of no type: paragraphs, split at sentence ends and packed."""
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("unknown").alias("document_type"), F.lit(1).alias("page"), "text")
+    none = {c: "string" for c in ("title", "author", "subject", "subject_code", "academic_year")} | {c: "int" for c in ("semester", "marks", "question_number")}
+    meta = pages.select("document_id", "document_type", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    return chunk.chunk(chunk.paragraph_blocks(pages), meta).select("chunk_id", "document_id", "page", "text")
+
+
+@register(
+    "collection_counts",
+    """SELECT 'academic' AS collection, count(DISTINCT (p_partkey - 1) // 4) FILTER (WHERE p_partkey > 0 AND (p_partkey - 1) // 4 + 1 IN (SELECT s_suppkey FROM supplier)) AS n_documents FROM part
+       UNION ALL SELECT 'library', count(DISTINCT (p_partkey - 1) // 4) FROM part UNION ALL SELECT 'past_questions', count(DISTINCT l_orderkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+)
+def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = typed(pages_of(spark, sf_dir)).withColumn("collection", classify.collection_for(F.col("document_type")))
+    return chunk_table.collection_counts(docs).withColumnRenamed("n", "n_documents")
+
+
+def required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an order requires: types of its parts as topics, their brands as subtopics."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_orderkey % 50 = 0")
+    names = rows.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("pos"), F.explode(F.create_map(F.lit("topic"), "p_type", F.lit("subtopic"), "p_brand")).alias("kind", "name"))
+    return names.groupBy("query_id", "kind", "name").agg(F.min("pos").alias("pos"))
+
+
+def supplier_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    sold = rows.where("l_suppkey % 10 = 0").select(F.col("l_suppkey").cast("string").alias("document_id"), F.col("p_type").alias("topic"), F.col("p_brand").alias("subtopic"), F.lit(None).cast("array<string>").alias("subtopics"))
+    return coverage.book_profiles(sold.distinct())
+
+
+COVERAGE = f"""
+    req AS (SELECT DISTINCT l_orderkey AS query_id, kind, name FROM (SELECT l_orderkey, 'topic' AS kind, p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0
+        UNION ALL SELECT l_orderkey, 'subtopic', p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0)),
+    prof AS (SELECT DISTINCT l_suppkey::VARCHAR AS document_id, kind, name FROM (SELECT l_suppkey, 'topic' AS kind, p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 10 = 0
+        UNION ALL SELECT l_suppkey, 'subtopic', p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 10 = 0)),
+    names AS (SELECT DISTINCT name FROM (SELECT name FROM req UNION ALL SELECT name FROM prof)),
+    w AS (SELECT name, term, count(*) AS n, md5(term) AS h FROM (SELECT name, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS term FROM names) GROUP BY ALL),
+    b AS (SELECT name, (('0x' || h)::UHUGEINT % {params.DIMENSIONS})::INTEGER AS bucket, sum(n * (1 - 2 * ((('0x' || h)::UHUGEINT >> 8) % 2)::INTEGER))::BIGINT AS w FROM w GROUP BY ALL),
+    e AS (SELECT name, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM b WHERE w <> 0),
+    near AS (SELECT x.name AS a, y.name AS b FROM e x JOIN e y USING (bucket) GROUP BY ALL HAVING sum(x.w * y.w) >= 0.4 - 1e-12),
+    m AS (SELECT DISTINCT r.query_id, p.document_id, r.kind, r.name FROM req r JOIN near ON near.a = r.name JOIN prof p ON p.kind = r.kind AND p.name = near.b),
+    tot AS (SELECT query_id, count(*) FILTER (WHERE kind = 'topic') AS nt, count(*) FILTER (WHERE kind = 'subtopic') AS ns FROM req GROUP BY query_id),
+    cov AS (SELECT query_id, document_id, count(*) FILTER (WHERE kind = 'topic') AS n_matched, round(count(*) FILTER (WHERE kind = 'topic') / nt, 4) AS topic_coverage, round(count(*) FILTER (WHERE kind = 'subtopic') / ns, 4) AS subtopic_coverage,
+        round(0.85e0 * (count(*) FILTER (WHERE kind = 'topic') / nt) + 0.15e0 * (count(*) FILTER (WHERE kind = 'subtopic') / ns), 4) AS score FROM m JOIN tot USING (query_id) GROUP BY query_id, document_id, nt, ns),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_matched DESC, s_name, document_id) AS rank FROM cov JOIN supplier ON s_suppkey::VARCHAR = document_id)"""
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = required(spark, sf_dir)
+    covered = coverage.coverage(wanted, coverage.matches(wanted, supplier_profiles(spark, sf_dir)))
+    titles = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("document_id"), F.col("s_name").alias("title"))
+    return coverage.rank_books(covered, titles, 3)
+
+
+@register("coverage_rank", f"WITH {COVERAGE} SELECT query_id, rank, document_id, score, topic_coverage, subtopic_coverage, n_matched FROM ranked WHERE rank <= 3")
+def coverage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(spark, sf_dir).select("query_id", "rank", "document_id", "score", "topic_coverage", "subtopic_coverage", "n_matched")
+
+
+@register("coverage_violations", f"WITH {COVERAGE} SELECT count(*) AS n FROM ranked WHERE abs(score - 0.85e0 * topic_coverage - 0.15e0 * subtopic_coverage) > 1.5e-4")
+def coverage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.violations(ranked(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
