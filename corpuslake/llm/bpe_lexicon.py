@@ -6,13 +6,12 @@ acyclic automaton whose equal suffixes are shared: the arcs of a word's path add
 number, and that number indexes its ids. The automaton is a flat file that the workers of an
 executor map into memory together. Words that it lacks are merged exactly by rank.
 
-Each worker remembers what it looked up, up to ``MEMO_WORDS`` words; the lexicon's and the memo's
-size bear on speed only, never on the ids.
+Each worker remembers what it looked up lately; the lexicon's and the memo's size bear on speed
+only, never on the ids.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import heapq
 import mmap
@@ -21,9 +20,10 @@ import re
 import struct
 import tempfile
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
-from .vocab import ByteLevelBpe, broadcast_file, once
+from .common import map_batches, stored
+from .vocab import ID_BITS, ByteLevelBpe, Memo, broadcast_file, once
 
 LEXICON_WORDS = 65_536
-MEMO_WORDS = 200_000
-#: Longer words are merged each time they occur, and not counted.
+#: Distinct stretches that a counting task holds before it hands its counts on.
+COUNTED_WORDS = 200_000
+#: Longer words are neither counted nor looked up.
 LONGEST_WORD = 64
+ID_MASK = (1 << ID_BITS) - 1
+NO_MERGE = 1 << 62
 #: Rows of output are handed on after about so many characters.
 CHUNK_CHARS = 4_000_000
 
@@ -48,31 +51,46 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 STRETCH = r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|\s+"
 
 
-def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """``symbols`` after all merges, lowest rank first and leftmost among equals: a heap over a linked list."""
+def merged(word: bytes, bpe: ByteLevelBpe) -> list[int]:
+    """The ids of a word after all merges, lowest rank first and leftmost among equals."""
+    ids, get = [bpe.byte_ids[b] for b in word], bpe.merges.get
+    if len(ids) > LONGEST_WORD:
+        return merged_long(ids, bpe.merges)
+    pairs = [get(a << ID_BITS | b, NO_MERGE) for a, b in pairwise(ids)]
+    while pairs:
+        least = min(pairs)
+        if least == NO_MERGE:
+            break
+        i = pairs.index(least)
+        ids[i] = new = least & ID_MASK
+        del ids[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(new << ID_BITS | ids[i + 1], NO_MERGE)
+        if i:
+            pairs[i - 1] = get(ids[i - 1] << ID_BITS | new, NO_MERGE)
+    return ids
+
+
+def merged_long(symbols: list[int], merges: dict[int, int]) -> list[int]:
+    """:func:`merged` for words of any length, by a heap over a linked list."""
     n = len(symbols)
-    if n < 2:
-        return symbols
     ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        if found := merges.get((ids[i], ids[i + 1])):
-            heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
+    heap = [(found, i) for i in range(n - 1) if (found := merges.get(ids[i] << ID_BITS | ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, left, right, new = heapq.heappop(heap)
+        merge, i = heapq.heappop(heap)
         j = after[i]
-        if ids[i] != left or j >= n or ids[j] != right:
+        if ids[i] < 0 or j >= n or merges.get(ids[i] << ID_BITS | ids[j]) != merge:
             continue  # one of the two has been merged since
-        ids[i], ids[j] = new, -1
+        ids[i], ids[j] = merge & ID_MASK, -1
         after[i] = k = after[j]
+        h = before[i]
         if k < n:
             before[k] = i
-            if found := merges.get((new, ids[k])):
-                heapq.heappush(heap, (found[0], i, new, ids[k], found[1]))
-        h = before[i]
-        if h >= 0 and (found := merges.get((ids[h], new))):
-            heapq.heappush(heap, (found[0], h, ids[h], new, found[1]))
+            if (found := merges.get(ids[i] << ID_BITS | ids[k])) is not None:
+                heapq.heappush(heap, (found, i))
+        if h >= 0 and (found := merges.get(ids[h] << ID_BITS | ids[i])) is not None:
+            heapq.heappush(heap, (found, h))
     return [x for x in ids if x >= 0]
 
 
@@ -145,47 +163,50 @@ class Lexicon:
 
     def find(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None where the lexicon lacks it."""
-        state, number = self.root, 0
+        state, number, first, labels, skips, targets = self.root, 0, self.first, self.labels, self.skips, self.targets
         for b in word:
-            end = self.first[state + 1]
-            arc = bisect.bisect_left(self.labels, b, self.first[state], end)
-            if arc == end or self.labels[arc] != b:
+            end = first[state + 1]
+            arc = bisect_left(labels, b, first[state], end)
+            if arc == end or labels[arc] != b:
                 return None
-            number += self.skips[arc]
-            state = self.targets[arc]
+            number += skips[arc]
+            state = targets[arc]
         if not self.ends[state]:
             return None
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
 
-class Encoder(dict):
-    """Stretch -> ids, filled on demand from the lexicon or by merging."""
+class Encoder(Memo):
+    """Stretch -> ids as bytes, filled on demand from the lexicon or by merging."""
 
     def __init__(self, bpe: ByteLevelBpe, lexicon: Lexicon) -> None:
+        super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
         self.words, self.stretches = regex.compile(SPLIT).findall, re.compile(STRETCH).findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(bpe.special, key=len, reverse=True))) + ")") if bpe.special else None
 
-    def __missing__(self, stretch: str) -> list[int]:
-        ids: list[int] = []
-        for word in self.words(stretch):
-            raw = word.encode()
-            known = self.lexicon.find(raw) if len(word) <= LONGEST_WORD else None
-            ids += merged([self.bpe.byte_ids[b] for b in raw], self.bpe.merges) if known is None else known
-        if len(stretch) <= LONGEST_WORD:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[stretch] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+    def make(self, stretch: str) -> bytes:
+        words = self.words(stretch)
+        if len(words) > 1:
+            return b"".join(map(self.__getitem__, words))
+        raw = stretch.encode()
+        ids = self.lexicon.find(raw) if len(stretch) <= LONGEST_WORD else None
+        return packed(merged(raw, self.bpe) if ids is None else ids)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, packed."""
         if self.special is None or not self.special.search(text):
-            return list(chain.from_iterable(map(self.__getitem__, self.stretches(text))))
-        ids: list[int] = []
+            return b"".join(map(self.__getitem__, self.stretches(text)))
+        parts = []
         for part in self.special.split(text):
             known = self.bpe.special.get(part)
-            ids.extend(chain.from_iterable(map(self.__getitem__, self.stretches(part))) if known is None else [known])
-        return ids
+            parts += map(self.__getitem__, self.stretches(part)) if known is None else [packed([known])]
+        return b"".join(parts)
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}i", *ids)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -206,7 +227,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 stretches.update(find(text.as_py() or ""))
-                if len(stretches) > MEMO_WORDS:
+                if len(stretches) > COUNTED_WORDS:
                     yield flush()
         yield flush()
 
@@ -214,12 +235,20 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS) -> bytes:
-    """The lexicon of the ``size`` most frequent words of ``docs``; that bound also bounds what the driver gathers."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    """The lexicon of the most frequent words of ``docs``, ``size`` at most and none that occurs once; that bound also bounds what the driver gathers."""
+    counted = stored(count_words(docs), "words")
+    # words as frequent as the size-th are taken or left together, so that each task sends only what is taken
+    least, passed = None, 0
+    for row in counted.where("n > 1").groupBy("n").count().orderBy(F.desc("n")).limit(size).collect():
+        passed += row["count"]
+        if passed > size:
+            break
+        least = row["n"]
+    top = counted.where(F.col("n") >= least).select("word").collect() if least else []
     with open(vocabulary, "rb") as f:
         bpe = ByteLevelBpe(f.read())
     words = sorted(row["word"].encode() for row in top)
-    return compile_lexicon((w, merged([bpe.byte_ids[b] for b in w], bpe.merges)) for w in words)
+    return compile_lexicon((w, merged(w, bpe)) for w in words)
 
 
 def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, decode_too: bool = False) -> DataFrame:
@@ -239,17 +268,17 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, decode_too: bool =
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                start, chars, flat, ends, texts = at, 0, array("i"), [0], []
+                start, chars, flat, ends, texts = at, 0, bytearray(), [0], []
                 while at < batch.num_rows and chars < CHUNK_CHARS:
                     text = batch.column(1)[at].as_py() or ""
                     ids = encoder.encode(text)
-                    flat.extend(ids)
-                    ends.append(len(flat))
+                    flat += ids
+                    ends.append(len(flat) // 4)
                     if decode_too:
-                        texts.append(decoded(ids, bpe))
+                        texts.append(decoded(np.frombuffer(ids, "<i4").tolist(), bpe))
                     chars += len(text)
                     at += 1
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, "<i4")))
                 columns = [batch.column(0).slice(start, at - start), lists] + ([pa.array(texts, pa.string())] if decode_too else [])
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 

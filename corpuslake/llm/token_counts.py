@@ -3,7 +3,7 @@
 The count of a stretch of text is its initial symbols minus the merges, plus the extra bytes of
 characters that the vocabulary lacks; no ids are made. A text is cut before each run of spaces:
 no piece holds a space after another character, so no merge crosses such a cut, and equal
-stretches have equal counts, which each worker remembers (up to ``MEMO_STRETCHES``).
+stretches have equal counts, which each worker remembers for those met lately.
 """
 
 from __future__ import annotations
@@ -18,11 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .vocab import broadcast_file, once
+from .vocab import Memo, broadcast_file, once
 
-MEMO_STRETCHES = 200_000
-#: Longer stretches are counted each time they occur.
-LONGEST_STRETCH = 64
 #: Fixed value: the character that stands for a space in piece vocabularies.
 SPACE = "▁"
 
@@ -86,21 +83,14 @@ class Pieces:
         return n - merges + extra
 
 
-class Counts(dict):
+class Counts(Memo):
     """Stretch -> tokens, filled on demand."""
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
+        super().__init__()
+        self.pieces, self.make = pieces, pieces.count
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
-    def __missing__(self, stretch: str) -> int:
-        n = self.pieces.count(stretch)
-        if len(stretch) <= LONGEST_STRETCH:
-            if len(self) >= MEMO_STRETCHES:
-                self.clear()
-            self[stretch] = n
-        return n
-
     def of(self, text: str) -> int:
         if not text:
             return 0

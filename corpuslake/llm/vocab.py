@@ -82,7 +82,8 @@ class ByteLevelBpe:
             if len(token) == 1:
                 self.byte_ids[alphabet[token]] = i
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: Two adjacent ids as one number -> the merge's rank and the merged id as one number.
+        self.merges = {ids[a] << ID_BITS | ids[b]: rank << ID_BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.special: dict[str, int] = {}
         for t in spec.get("added_tokens", []):
             if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
