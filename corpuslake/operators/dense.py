@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuslake.functions import params
 
@@ -90,6 +91,7 @@ def dense_topk(
     ids = [q["query_id"] for q, n in zip(asked, length, strict=True) if n > 0]
     matrix = matrix[length > 0] / length[length > 0, None]
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+    asked_type = to_arrow_type(queries.schema["query_id"].dataType)
     id_type, query_type = rows.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     group_types = "".join(f"{g} {rows.schema[g].dataType.simpleString()}, " for g in groups)
 
@@ -114,7 +116,7 @@ def dense_topk(
                         out["row"] += chosen.tolist()
                         out["score"] += score[q, chosen].tolist()
                 taken = part.take(pa.array(out["row"], pa.int64()))
-                columns = [pa.array(out["q"]), *taken.columns[1:-1], taken.column(0), pa.array(out["score"], pa.float64())]
+                columns = [pa.array(out["q"], asked_type), *taken.columns[1:-1], taken.column(0), pa.array(out["score"], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", *groups, "id", "score"])
 
     nonzero = F.exists(vector_col, lambda x: x != 0) & (F.size(vector_col) == dim) & F.forall(vector_col, lambda x: x.isNotNull())
