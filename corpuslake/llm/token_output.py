@@ -15,9 +15,11 @@ block. ``start`` of a block counts from its file; what precedes a file is summed
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,54 +28,78 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, scratch_path
-from .vocab import broadcast_file, once
+from .vocab import Memo, broadcast_file, once
 
-MEMO_WORDS = 200_000
-LONGEST_WORD = 64
 #: Ids after which a block ends.
 BLOCK_IDS = 262_144
 CHUNK_CHARS = 4_000_000
-#: Bytes of coded ids in a file, about.
-FILE_BYTES = 64 << 20
+#: Bytes of ids that go in a file, before they are coded.
+FILE_BYTES = 16 << 20
 
 BLOCKS = "file int, block int, start long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
 
-class WordIds(dict):
-    """Word -> ids of the tokenizers library, for tokenizers that drop the ASCII spaces between words."""
+class WordIds(Memo):
+    """Word -> ids of the tokenizers library as bytes, for tokenizers that lower-case, drop the ASCII spaces between words and split words from stops."""
 
-    def __init__(self, content: bytes) -> None:
+    SIZE = 500_000
+
+    def __init__(self, content: bytes, width: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(content.decode())
+        super().__init__()
+        self.tokenizer, self.width, self.code = Tokenizer.from_str(content.decode()), width, {2: "H", 4: "I"}[width]
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def make(self, word: str) -> bytes:
+        return self.packed(self.ids_of(word))
 
-    def of(self, text: str) -> list[int]:
+    def learn(self, words: set[str]) -> None:
+        """Encodes the words that aren't known yet in one call, with a mark between them whose id no other word can hold."""
+        mark = self.ids_of(MARK)
+        new = [w for w in words if w not in self and w not in self.older and len(w) <= self.LONGEST and MARK not in w]
+        if len(mark) != 1 or not new:
+            return
+        ids = np.array(self.ids_of(f" {MARK} ".join(new)), f"<u{self.width}")
+        cuts, raw = [-1, *np.flatnonzero(ids == mark[0]).tolist(), len(ids)], ids.tobytes()
+        if len(self) + len(new) > self.SIZE:
+            self.older = dict(self)
+            self.clear()
+        self.update((w, raw[self.width * (a + 1) : self.width * b]) for w, (a, b) in zip(new, pairwise(cuts), strict=True))
+
+    def of(self, text: str) -> bytes:
         for space in "\t\n\x0b\f\r":
             text = text.replace(space, " ")
-        return list(chain.from_iterable(map(self.__getitem__, text.split(" "))))
+        # these two are cut off anyway after a letter; most words then occur in one form
+        words = STOP.sub(r" \1", text.lower() if text.isascii() else text).split(" ")
+        self.learn(set(words))
+        return b"".join(map(self.__getitem__, words))
+
+
+#: A character that no word of a text is likely to hold; a word that does is encoded on its own.
+MARK = "\x01"
+STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= |$)")
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids binary): the ids of each whole text and ``end_id``, as little-endian unsigned 32-bit numbers."""
-    file = broadcast_file(docs.sparkSession, tokenizer)
+    """(doc_id, ids binary): the ids of each whole text and ``end_id``, as little-endian unsigned numbers of :func:`id_bytes` bytes."""
+    file, width = broadcast_file(docs.sparkSession, tokenizer), id_bytes(tokenizer)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = once(hashlib.sha256(file.value).hexdigest(), lambda: WordIds(file.value))
+        words = once(hashlib.sha256(file.value).hexdigest(), lambda: WordIds(file.value, width))
+        end = words.packed([end_id])
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 start, chars, out = at, 0, []
                 while at < batch.num_rows and chars < CHUNK_CHARS:
                     text = batch.column(1)[at].as_py() or ""
-                    out.append(np.array([*words.of(text), end_id], "<u4").tobytes())
+                    out.append(words.of(text) + end)
                     chars += len(text)
                     at += 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), pa.array(out, pa.binary())], ["doc_id", "ids"])
@@ -81,14 +107,21 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], rows, "doc_id long, ids binary")
 
 
-def rank_ids(encoded: DataFrame) -> np.ndarray:
+def id_bytes(tokenizer: str) -> int:
+    """2 where a tokenizer's ids fit in 16 bits, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
+def rank_ids(encoded: DataFrame, width: int) -> np.ndarray:
     """All ids that occur, most frequent first; as many as the vocabulary has at most."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                counts = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
+                counts = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"))
                 if len(counts) > len(total):
                     counts[: len(total)] += total
                     total = counts
@@ -142,12 +175,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> np
     kept = scratch_path(spark, "encoded")
     encode(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(kept)
     encoded = spark.read.schema("doc_id long, ids binary").parquet(kept)
-    ranks = rank_ids(encoded)
+    width = id_bytes(tokenizer)
+    ranks = rank_ids(encoded, width)
     rank_of = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.uint32)
     rank_of[ranks] = np.arange(len(ranks), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)  # 4 bytes an id of the vocabulary
     n_bytes = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    files = max(spark.sparkContext.defaultParallelism, n_bytes // (2 * FILE_BYTES))
+    files = max(spark.sparkContext.defaultParallelism, n_bytes // FILE_BYTES)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number, start = TaskContext.get().partitionId(), 0, 0
@@ -163,7 +197,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> np
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0), batch.column(1), strict=True):
-                parts.append(shared.value[np.frombuffer(ids.as_py(), "<u4")])
+                parts.append(shared.value[np.frombuffer(ids.as_py(), f"<u{width}")])
                 names.append(doc_id.as_py())
                 lengths.append(len(parts[-1]))
                 if sum(lengths) >= BLOCK_IDS:
