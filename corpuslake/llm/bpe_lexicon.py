@@ -176,13 +176,32 @@ class Lexicon:
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
 
+#: A stretch that SPLIT cuts before its stop, if it has one, and nowhere else; most stretches are such.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+class Splitter:
+    """The words of a stretch, by PLAIN where that applies."""
+
+    def __init__(self) -> None:
+        self.plain, self.find = PLAIN.fullmatch, regex.compile(SPLIT).findall
+
+    def __call__(self, stretch: str) -> list[str]:
+        if found := self.plain(stretch):
+            word, stop = found.groups()
+            return [word, stop] if stop else [word]
+        return self.find(stretch)
+
+
 class Encoder(Memo):
     """Stretch -> ids as bytes, filled on demand from the lexicon or by merging."""
 
+    SIZE = 500_000
+
     def __init__(self, bpe: ByteLevelBpe, lexicon: Lexicon) -> None:
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
-        self.words, self.stretches = regex.compile(SPLIT).findall, re.compile(STRETCH).findall
+        self.words, self.stretches = Splitter(), re.compile(STRETCH).findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(bpe.special, key=len, reverse=True))) + ")") if bpe.special else None
 
     def make(self, stretch: str) -> bytes:
@@ -213,7 +232,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): how often each pre-tokenised word of up to LONGEST_WORD characters occurs in all texts."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, find, stretches = regex.compile(SPLIT).findall, re.compile(STRETCH).findall, Counter()
+        split, find, stretches = Splitter(), re.compile(STRETCH).findall, Counter()
 
         def flush() -> pa.RecordBatch:
             counts: Counter = Counter()
