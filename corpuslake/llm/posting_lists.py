@@ -4,10 +4,14 @@ A bounded sample of the vectors (``SAMPLE_ROWS``) fits the centroids of the list
 assignment is made dearer for crowded lists. Every vector is indexed: it is put in its nearest
 list, and a vector near a boundary, whose next centroids are at most ``BOUNDARY`` times as far, is
 replicated to up to ``REPLICAS`` lists. A query walks an in-memory graph of the centroids from the
-nearest one on, best first, and takes the lists within ``RATIO`` times the nearest centroid's
+nearest one on, best first, and takes the lists within a ratio of the nearest centroid's
 distance, and at least as many as hold ``LEAST_ROWS`` first copies; exact distances then rank
 what those lists hold.
 
+The ratio is fitted when the index is built: the true neighbours of ``TRIED`` sample vectors, found
+by brute force over all rows, tell how far their lists are. It is the least at which the search of
+these reaches ``RECALL``, and not below ``RATIO``.
+
 Lists are split by hash where they or the queries that read them are many, so that one common
 vector or a crowded list is never met in one task.
 """
@@ -30,17 +34,19 @@ SAMPLE_ROWS = 16_384
 ROWS_PER_LIST, MIN_LISTS, MAX_LISTS = 250, 8, 1024
 BOUNDARY, REPLICAS, RATIO, LEAST_ROWS = 1.05, 3, 1.14, 500
 LINKS, ROUNDS = 24, 8
+TRIED, RECALL = 256, 0.95
 #: Vectors and queries that one group of the search holds, about.
 PART_ROWS, PART_QUERIES = 8192, 2048
 
 
 @dataclass
 class Index:
-    """Centroids, the graph over them, and how many first copies each list holds; ``MAX_LISTS`` rows at most."""
+    """Centroids, the graph over them, how many first copies each list holds, and the ratio of the search; ``MAX_LISTS`` rows at most."""
 
     centroids: np.ndarray
     links: np.ndarray
     sizes: np.ndarray
+    ratio: float = RATIO
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -122,6 +128,15 @@ def lists_of(query: np.ndarray, index: Index, ratio: float, least: int) -> list[
     return kept
 
 
+def places(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest lists of each vector, and which of them take it."""
+    d = np.sqrt(squared(v, centroids))
+    near = d.argsort(axis=1, kind="stable")[:, :REPLICAS]
+    kept = np.take_along_axis(d, near, 1) <= BOUNDARY * np.take_along_axis(d, near[:, :1], 1)
+    kept[:, 0] = True
+    return near, kept
+
+
 def assign(rows: DataFrame, index: Index) -> DataFrame:
     """(list, first, vec_id, v): each vector in its nearest list (``first``) and, near a boundary, in the next ones."""
     shared = rows.sparkSession.sparkContext.broadcast(index.centroids)
@@ -132,10 +147,7 @@ def assign(rows: DataFrame, index: Index) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 v = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                d = np.sqrt(squared(v, centroids))
-                near = d.argsort(axis=1, kind="stable")[:, :REPLICAS]
-                kept = np.take_along_axis(d, near, 1) <= BOUNDARY * np.take_along_axis(d, near[:, :1], 1)
-                kept[:, 0] = True
+                near, kept = places(v, centroids)
                 row, order = np.nonzero(kept)
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(near[row, order], pa.int32()), pa.array(order == 0), *taken.columns], ["list", "first", "vec_id", "v"])
@@ -143,27 +155,77 @@ def assign(rows: DataFrame, index: Index) -> DataFrame:
     return rows.mapInArrow(place, "list int, first boolean, vec_id long, v array<double>")
 
 
-def build(rows: DataFrame, seed: int = 42) -> tuple[Index, DataFrame]:
-    """The index of usable vectors (vec_id, v) and its posting lists, stored in the shared folder."""
+def true_lists(rows: DataFrame, index: Index, ids: np.ndarray, asked: np.ndarray, k: int) -> list[tuple[int, list[int]]]:
+    """(place in ``asked``, lists) of each of its k nearest others in all rows; a task keeps its own k best of each."""
+    shared = rows.sparkSession.sparkContext.broadcast((index.centroids, ids, asked))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, own, q = shared.value
+        far, held = np.full((len(q), k), np.inf), np.zeros((len(q), k, q.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                v = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                d = squared(q, v)
+                d[own[:, None] == part.column(0).to_numpy()[None, :]] = np.inf
+                near = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(q), 1))
+                far, held = np.concatenate([far, np.take_along_axis(d, near, 1)], 1), np.concatenate([held, v[near]], 1)
+                least = np.argsort(far, axis=1, kind="stable")[:, :k]
+                far, held = np.take_along_axis(far, least, 1), np.take_along_axis(held, least[:, :, None], 1)
+        row, order = np.nonzero(np.isfinite(far))
+        near, kept = places(held[row, order], centroids)
+        lists = pa.array([n[t].tolist() for n, t in zip(near, kept, strict=True)], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(far[row, order]), lists], ["place", "d", "lists"])
+
+    close = rows.mapInArrow(best, "place int, d double, lists array<int>")
+    rank = F.row_number().over(Window.partitionBy("place").orderBy("d", "lists"))
+    # TRIED * k rows at most
+    return [(r["place"], r["lists"]) for r in close.withColumn("rank", rank).where(F.col("rank") <= k).select("place", "lists").collect()]
+
+
+def fit_ratio(rows: DataFrame, index: Index, ids: np.ndarray, asked: np.ndarray, k: int, least: int = LEAST_ROWS) -> float:
+    """The least ratio at which searches for the ``asked`` vectors find ``RECALL`` of their true neighbours."""
+    found = true_lists(rows, index, ids, asked, k)
+    if not found:
+        return RATIO
+    d = np.sqrt(squared(asked, index.centroids))
+    nearest = d.min(axis=1)
+    needed = [d[q, lists].min() / nearest[q] if nearest[q] > 0 else 1.0 for q, lists in found]
+    ratio = max(RATIO, float(np.quantile(needed, RECALL, method="higher")))
+    widest = max((d.max(axis=1) / nearest)[nearest > 0], default=ratio)
+    while True:  # the walk may lose lists that are near enough
+        taken = [set(lists_of(q, index, ratio, least)) for q in asked]
+        if np.mean([not taken[q].isdisjoint(lists) for q, lists in found]) >= RECALL or ratio > widest:
+            return ratio
+        ratio *= 1.02
+
+
+def build(rows: DataFrame, seed: int = 42, k: int = 10) -> tuple[Index, DataFrame]:
+    """The index of usable vectors (vec_id, v), its ratio fitted for k neighbours, and its posting lists, stored in the shared folder."""
     n = rows.count()
     n_lists = min(MAX_LISTS, max(MIN_LISTS, n // ROWS_PER_LIST))
-    drawn = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
+    drawn = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE_ROWS + TRIED).select("vec_id", "v").collect()
     if not drawn:
         return Index(np.zeros((0, 0)), np.zeros((0, 0), int), np.zeros(0, int)), rows.select(F.lit(0).alias("list"), F.lit(True).alias("first"), "vec_id", "v")
-    index = fit(np.array([row["v"] for row in drawn]), n_lists, seed)
+    index = fit(np.array([row["v"] for row in drawn[:SAMPLE_ROWS]]), n_lists, seed)
     postings = cut(assign(rows, index))
     for row in postings.groupBy("list").agg(F.count_if("first").alias("n")).collect():
         index.sizes[row["list"]] = row["n"]
+    # vectors that the centroids were not fitted to, where there are more: fitted ones lie nearer to theirs.
+    # Equal ones are tried once, so that a common one does not stand for the others
+    tried = list({tuple(row["v"]): row for row in reversed(drawn)}.values())[:TRIED]
+    index.ratio = fit_ratio(rows, index, np.array([row["vec_id"] for row in tried]), np.array([row["v"] for row in tried]), k)
     return index, postings
 
 
-def search(queries: DataFrame, index: Index, postings: DataFrame, k: int = 10, ratio: float = RATIO, least: int = LEAST_ROWS) -> DataFrame:
+def search(queries: DataFrame, index: Index, postings: DataFrame, k: int = 10, ratio: float | None = None, least: int = LEAST_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row of ``queries`` (vec_id, v), without itself.
 
     ``score`` is the Euclidean distance of the vectors as given, in double precision; equal
-    distances go by vec_id. Rows of one vec_id count as one candidate for each distinct distance.
+    distances go by vec_id. ``ratio`` is the index's own unless given. Rows of one vec_id count as one candidate for each distinct distance.
     """
     shared = queries.sparkSession.sparkContext.broadcast(index)
+    ratio = index.ratio if ratio is None else ratio
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,5 +279,5 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
     all returned; an empty table gives no rows; other columns are ignored.
     """
     rows = cut(usable(vectors, id_col, vector_col))
-    index, postings = build(rows, seed)
+    index, postings = build(rows, seed, k)
     return search(rows.where(queries), index, postings, k)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -397,3 +398,21 @@ def test_neighbours_recall_order_and_odd_vectors(spark):
     assert few.count() == 2
     assert posting_lists.nearest_neighbours(df.where("vec_id > 4999"), F.col("vec_id") >= 0).count() <= 2
     assert posting_lists.nearest_neighbours(df.where("vec_id is null"), F.col("vec_id") >= 0).count() == 0
+
+
+def test_posting_lists_keep_recall_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(posting_lists, "ROWS_PER_LIST", 16)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(16_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(v)), pa.int64()), "embedding": pa.array(v.tolist(), pa.list_(pa.float64()))}))
+    found = defaultdict(set)
+    for r in rows_of(posting_lists.nearest_neighbours(df, F.col("vec_id") % 200 == 0)):
+        found[r["query_id"]].add(r["vec_id"])
+    assert len(found) == 80
+    hit = 0
+    for q, ids in found.items():
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(ids & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.92 * 10 * len(found), hit
