@@ -211,6 +211,12 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.clean_pages(plain).select("doc_id", F.md5("text").alias("clean_md5"))
 
 
+@register("clean_documents")
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cleaned, whatever their characters; ``clean_text`` is the part of them that SQL can state."""
+    return text.clean_pages(table(spark, sf_dir, "documents")).select("doc_id", F.md5("text").alias("clean_md5"))
+
+
 @register(
     "page_links",
     r"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*>')) AS a, generate_subscripts(regexp_extract_all(html, '<a\s[^>]*>'), 1) AS pos,
