@@ -3,6 +3,8 @@
 import hashlib
 import re
 import unicodedata
+from collections import Counter, defaultdict
+from math import sqrt
 
 from corpuslake.plans import registry
 
@@ -26,3 +28,36 @@ def test_clean_documents_takes_all_rows(spark, tmp_path):
     rows = docs.unionByName(odd).collect()
     assert len(rows) == len(out) == 203 and sum(not (r["text"] or "").isascii() for r in rows) > 30
     assert out == {r["doc_id"]: hashlib.md5(brute_clean(r["text"]).encode()).hexdigest() for r in rows}
+
+
+def brute_embed(name):
+    w = Counter()
+    for term in re.findall("[a-z0-9]+", name.lower()):
+        h = int(hashlib.md5(term.encode()).hexdigest(), 16)
+        w[h % 384] += 1 - 2 * (h >> 8 & 1)
+    norm = sqrt(sum(x * x for x in w.values()))
+    return {b: x / norm for b, x in w.items()}
+
+
+def test_coverage_rank_all_ranks_all_suppliers_for_all_orders(spark):
+    parts = {r["p_partkey"]: (("topic", r["p_type"]), ("subtopic", r["p_brand"])) for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    titles = {r["s_suppkey"]: r["s_name"] for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    asked, sold = defaultdict(set), defaultdict(set)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
+        asked[r["l_orderkey"]].update(parts[r["l_partkey"]])
+        sold[r["l_suppkey"]].update(parts[r["l_partkey"]])
+    e = {name: brute_embed(name) for pair in parts.values() for _, name in pair}
+    near = {(a, b): sum(x * e[b].get(i, 0) for i, x in e[a].items()) >= 0.4 - 1e-12 for a in e for b in e}
+    covers = {(s, kind, name): any(k == kind and near[name, own] for k, own in sold[s]) for s in sold for kind, name in set().union(*parts.values())}
+    want = set()
+    for order, names in asked.items():
+        rows = []
+        for s in sold:
+            (t, nt), (u, nu) = ((sum(covers[s, k, n] for k, n in names if k == kind), sum(k == kind for k, _ in names)) for kind in ("topic", "subtopic"))
+            if t or u:
+                rows.append((-round(0.85 * t / nt + 0.15 * u / nu, 4), -t, titles[s], str(s)))
+        want.update((order, i, r[3], -r[0], -r[1]) for i, r in enumerate(sorted(rows)[:3], 1))
+    out = registry.queries()["coverage_rank_all"](spark, SF).collect()
+    assert {(r["query_id"], r["rank"], r["document_id"], r["score"], r["n_matched"]) for r in out} == want
+    assert len({r["query_id"] for r in out}) == len(asked) > 1000
+    assert registry.queries()["coverage_violations_all"](spark, SF).first()["n"] == 0
