@@ -64,64 +64,73 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (whole > 0), dot(a, b) / whole).otherwise(F.lit(0.0))
 
 
-#: Vectors compared with the questions at once.
-BLOCK = 4096
+#: Vectors compared with a block of questions at once; questions and vectors that one group of the search holds, about.
+BLOCK, PART_QUERIES, PART_ROWS = 1024, 8192, 16384
 
 
 def dense_topk(
-    queries: DataFrame, rows: DataFrame, k: int = params.TOP_K, floor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", groups: tuple[str, ...] = (), max_queries: int = 100_000
+    queries: DataFrame, rows: DataFrame, k: int = params.TOP_K, floor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", groups: tuple[str, ...] = ()
 ) -> DataFrame:
     """(query_id, *groups, rank, id, score): the k nearest rows by cosine rounded to 6 places, then id, for each question and group.
 
-    ``queries`` (query_id, vector) is gathered and broadcast, and refused beyond ``max_queries``;
-    each task keeps its own k best per question and group, so that little is shuffled. Vectors that
+    Blocks of ``queries`` (query_id, vector) meet parts of each group's rows, dealt by hash, and each such
+    pair keeps its own k best per question and group; only one count comes to the driver. Vectors that
     are null, of length zero or of another dimension than the question's take no part.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    asked = queries.select("query_id", "vector").where("vector is not null").limit(max_queries + 1).collect()
-    if len(asked) > max_queries:
-        raise ValueError(f"more than {max_queries} questions; split them")
-    dims = {len(q["vector"]) for q in asked}
-    if len(dims) > 1:
+    asked = queries.select("query_id", "vector").where("vector is not null")
+    n_asked, low, dim = asked.agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if low != dim:
         raise ValueError("questions are of several dimensions")
-    dim = dims.pop() if dims else 0
-    matrix = np.array([q["vector"] for q in asked], np.float64).reshape(len(asked), dim)
-    length = np.linalg.norm(matrix, axis=1)
-    ids = [q["query_id"] for q, n in zip(asked, length, strict=True) if n > 0]
-    matrix = matrix[length > 0] / length[length > 0, None]
-    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+    nonzero = F.exists(vector_col, lambda x: x != 0) & (F.size(vector_col) == (dim or 0)) & F.forall(vector_col, lambda x: x.isNotNull())
+    usable = rows.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & nonzero).select(id_col, *groups, vector_col)
+    blocks = max(1, -(-n_asked // PART_QUERIES))
     asked_type = to_arrow_type(queries.schema["query_id"].dataType)
     id_type, query_type = rows.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     group_types = "".join(f"{g} {rows.schema[g].dataType.simpleString()}, " for g in groups)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, unit = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                v = np.array(part.column(part.num_columns - 1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+    types = [asked_type, *(to_arrow_type(rows.schema[c].dataType) for c in (*groups, id_col)), pa.float64()]
+    out_schema = pa.schema(list(zip(["query_id", *groups, "id", "score"], types, strict=True)))
+
+    def best(questions: pa.Table, held: pa.Table) -> pa.Table:
+        names = questions.column("query_id").to_pylist()
+        unit = np.array(questions.column("vector").to_pylist(), np.float64).reshape(len(names), dim)
+        length = np.linalg.norm(unit, axis=1)
+        names = [q for q, n in zip(names, length, strict=True) if n > 0]
+        unit = unit[length > 0] / length[length > 0, None]
+        found: list[pa.Table] = []
+        # rows of a group, in the order of their ids
+        columns = [held.column(c) for c in (*groups, id_col)]
+        kinds, own = list(zip(*(c.to_pylist() for c in columns[:-1]), strict=True)) or [()] * held.num_rows, columns[-1].to_pylist()
+        places: dict[tuple, list[int]] = {}
+        for i in sorted(range(held.num_rows), key=lambda i: own[i]):
+            places.setdefault(kinds[i], []).append(i)
+        for mine in places.values():
+            scores, near = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+            for at in range(0, len(mine), BLOCK):
+                part = np.array(mine[at : at + BLOCK])
+                v = np.array(held.column(vector_col).take(pa.array(part)).to_pylist(), np.float64).reshape(len(part), dim)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
-                score = np.round(unit @ v.T, 6)
-                kinds = [tuple(c[i].as_py() for c in part.columns[1:-1]) for i in range(part.num_rows)]
-                own = part.column(0).to_pylist()
-                order = np.array(sorted(range(part.num_rows), key=lambda i: own[i]))
-                out: dict[str, list] = {"q": [], "row": [], "score": []}
-                for kind in set(kinds):
-                    mine = order[[kinds[i] == kind for i in order]]
-                    near = np.argsort(-score[:, mine], axis=1, kind="stable")[:, :k]
-                    for q in range(len(names)):
-                        chosen = mine[near[q]]
-                        out["q"] += [names[q]] * len(chosen)
-                        out["row"] += chosen.tolist()
-                        out["score"] += score[q, chosen].tolist()
-                taken = part.take(pa.array(out["row"], pa.int64()))
-                columns = [pa.array(out["q"], asked_type), *taken.columns[1:-1], taken.column(0), pa.array(out["score"], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", *groups, "id", "score"])
-
-    nonzero = F.exists(vector_col, lambda x: x != 0) & (F.size(vector_col) == dim) & F.forall(vector_col, lambda x: x.isNotNull())
-    usable = rows.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & nonzero).select(id_col, *groups, vector_col)
-    close = usable.mapInArrow(best, f"query_id {query_type}, {group_types}id {id_type}, score double")
+                # what is kept so far has lower ids, so it stays first among equals
+                scores = np.concatenate([scores, np.round(unit @ v.T, 6)], 1)
+                near = np.concatenate([near, np.broadcast_to(part, (len(names), len(part)))], 1)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                scores, near = np.take_along_axis(scores, order, 1), np.take_along_axis(near, order, 1)
+            chosen = pa.array(near.ravel())
+            q = np.repeat(np.arange(len(names)), near.shape[1])
+            values = [pa.array([names[i] for i in q], asked_type), *(c.take(chosen) for c in columns), pa.array(scores.ravel())]
+            found.append(pa.table(values, schema=out_schema))
+        return pa.concat_tables(found) if found else out_schema.empty_table()
+
+    keys = ["_block", "_kind", "_part"]
+    kinds = usable.withColumn("_kind", F.xxhash64(*groups) if groups else F.lit(0).cast("long"))
+    # a row per group
+    parts = kinds.groupBy("_kind").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("_parts"))
+    right = kinds.join(parts, "_kind").withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int"))
+    right = right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    left = left.crossJoin(parts.select(F.col("_kind").alias("_kind"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")))
+    close = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"query_id {query_type}, {group_types}id {id_type}, score double")
     if floor is not None:
         close = close.where(F.col("score") >= floor)
     rank = F.row_number().over(Window.partitionBy("query_id", *groups).orderBy(F.desc("score"), "id"))

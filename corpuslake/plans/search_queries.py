@@ -104,9 +104,9 @@ VECTOR_SQL = """
 """
 
 
-def vector_hits(spark: SparkSession, sf_dir: str, floor: float | None = None) -> DataFrame:
+def vector_hits(spark: SparkSession, sf_dir: str, floor: float | None = None, every: int = 50) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("collection"), "embedding")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return dense.dense_topk(asked, rows, 5, floor, groups=("collection",))
 
 
@@ -125,6 +125,17 @@ def dense_topk_all_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.merged_topk(vector_hits(spark, sf_dir, 0.1), 5)
 
 
+# every id divisible by 20 is the stated query set; the SQL above states ids divisible by 50
+@register("dense_topk_by_collection_20")
+def dense_topk_by_collection_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_hits(spark, sf_dir, every=20)
+
+
+@register("dense_topk_all_collections_20")
+def dense_topk_all_collections_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.merged_topk(vector_hits(spark, sf_dir, 0.1, 20), 5)
+
+
 @register("vector_cosine", "SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")

@@ -6,6 +6,9 @@ import unicodedata
 from collections import Counter, defaultdict
 from math import sqrt
 
+import numpy as np
+
+from corpuslake.operators import dense
 from corpuslake.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +64,25 @@ def test_coverage_rank_all_ranks_all_suppliers_for_all_orders(spark):
     assert {(r["query_id"], r["rank"], r["document_id"], r["score"], r["n_matched"]) for r in out} == want
     assert len({r["query_id"] for r in out}) == len(asked) > 1000
     assert registry.queries()["coverage_violations_all"](spark, SF).first()["n"] == 0
+
+
+def test_dense_topk_in_blocks_of_the_stated_questions(spark, monkeypatch):
+    monkeypatch.setattr(dense, "PART_QUERIES", 7)
+    monkeypatch.setattr(dense, "PART_ROWS", 20)
+    rows = sorted((r["vec_id"], r["label"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
+    v = np.array([r[2] for r in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    want, merged = {}, {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        score, all_hits = np.round(v @ v[q], 6), []
+        for label in set(labels):
+            mine = np.flatnonzero(labels == label)
+            top = sorted((-score[i], ids[i]) for i in mine)[:5]
+            want.update({(ids[q], label, n): (i, -s) for n, (s, i) in enumerate(top, 1)})
+            all_hits += [x for x in top if -x[0] >= 0.1]
+        merged.update({(ids[q], n): (i, -s) for n, (s, i) in enumerate(sorted(all_hits)[:5], 1)})
+    out = registry.queries()["dense_topk_by_collection_20"](spark, SF).collect()
+    assert {(r["query_id"], r["collection"], r["rank"]): (r["id"], r["score"]) for r in out} == want
+    out = registry.queries()["dense_topk_all_collections_20"](spark, SF).collect()
+    assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in out} == merged
