@@ -15,11 +15,11 @@ block. ``start`` of a block counts from its file; what precedes a file is summed
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, scratch_path
-from .vocab import Memo, broadcast_file, once
+from .vocab import Memo, broadcast_file, byte_alphabet, once
 
 #: Ids after which a block ends.
 BLOCK_IDS = 262_144
@@ -39,8 +39,18 @@ FILE_BYTES = 16 << 20
 BLOCKS = "file int, block int, start long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
 
+#: The steps of the one kind of tokenizer that is read, in its file's own form.
+STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
 class WordIds(Memo):
-    """Word -> ids of the tokenizers library as bytes, for tokenizers that lower-case, drop the ASCII spaces between words and split words from stops."""
+    """Word -> ids of the tokenizers library as bytes, for tokenizers whose ids of a text are those of its words in turn.
+
+    That holds where white space is dropped, no rule looks across it, and ASCII letters are
+    lower-cased whatever stands beside them; a file with other steps is refused. Added tokens
+    are found in the text as it is, so texts that hold one in any case go to the library whole.
+    """
 
     SIZE = 500_000
 
@@ -48,46 +58,50 @@ class WordIds(Memo):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.width, self.code = Tokenizer.from_str(content.decode()), width, {2: "H", 4: "I"}[width]
+        spec = json.loads(content)
+        split, bytewise = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])[:2]
+        rules = {"normalizers": STEPS, "pattern": WORD_SPLIT, "behavior": "Removed", "invert": True, "add_prefix_space": False, "use_regex": False}
+        if any(((spec["normalizer"] or {}) | split | bytewise).get(rule) != value for rule, value in rules.items()) or spec.get("post_processor"):
+            raise ValueError("only tokenizers that lower-case and split by words are read")
+        if any(t["normalized"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("an added token has matching rules that are not read")
+        self.tokenizer = Tokenizer.from_str(content.decode())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.width, self.code = width, {2: "H", 4: "I"}[width]
+        self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
+        self.model, self.alphabet = self.tokenizer.model, [c for c, _ in sorted(byte_alphabet().items(), key=lambda item: item[1])]
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def ids_of(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def make(self, word: str) -> bytes:
-        return self.packed(self.ids_of(word))
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't known yet in one call, with a mark between them whose id no other word can hold."""
-        mark = self.ids_of(MARK)
-        new = [w for w in words if w not in self and w not in self.older and len(w) <= self.LONGEST and MARK not in w]
-        if len(mark) != 1 or not new:
-            return
-        ids = np.array(self.ids_of(f" {MARK} ".join(new)), f"<u{self.width}")
-        cuts, raw = [-1, *np.flatnonzero(ids == mark[0]).tolist(), len(ids)], ids.tobytes()
-        if len(self) + len(new) > self.SIZE:
-            self.older = dict(self)
-            self.clear()
-        self.update((w, raw[self.width * (a + 1) : self.width * b]) for w, (a, b) in zip(new, pairwise(cuts), strict=True))
+    def make(self, word: bytes) -> bytes:
+        if found := PLAIN.fullmatch(text := word.decode()):
+            letters, stops = found.groups()
+            if letters and stops:
+                return self[letters.encode()] + self[stops.encode()]
+            # one piece of the split, and composed: the model's own merging is all that is left to do
+            piece = text.lower().encode()
+            return self.packed([t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, piece)))])
+        return self.packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def of(self, text: str) -> bytes:
-        for space in "\t\n\x0b\f\r":
-            text = text.replace(space, " ")
-        # these two are cut off anyway after a letter; most words then occur in one form
-        words = STOP.sub(r" \1", text.lower() if text.isascii() else text).split(" ")
-        self.learn(set(words))
-        return b"".join(map(self.__getitem__, words))
+        """The ids of a whole text."""
+        raw = text.encode()
+        lowered = raw.lower()
+        if any(token in lowered for token in self.special):
+            return self.packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        # of a text beyond ASCII, capitals stay: whether a letter and its mark are composed may hang on the case
+        words = lowered if len(raw) == len(text) else raw
+        return b"".join(map(self.__getitem__, words.split()))  # of bytes: the six ASCII blanks
 
 
-#: A character that no word of a text is likely to hold; a word that does is encoded on its own.
-MARK = "\x01"
-STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= |$)")
+#: Letters of one piece that composing leaves as they are, then marks that lie in one piece: no apostrophe, digit or control.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids binary): the ids of each whole text and ``end_id``, as little-endian unsigned numbers of :func:`id_bytes` bytes."""
+    """(doc_id, row, ids binary): the ids of each whole text and ``end_id``, as little-endian unsigned numbers of :func:`id_bytes` bytes; ``row`` tells rows apart."""
     file, width = broadcast_file(docs.sparkSession, tokenizer), id_bytes(tokenizer)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +112,15 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             while at < batch.num_rows:
                 start, chars, out = at, 0, []
                 while at < batch.num_rows and chars < CHUNK_CHARS:
-                    text = batch.column(1)[at].as_py() or ""
+                    text = batch.column(2)[at].as_py() or ""
                     out.append(words.of(text) + end)
                     chars += len(text)
                     at += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                columns = [*(c.slice(start, at - start) for c in batch.columns[:2]), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "ids"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], rows, "doc_id long, ids binary")
+    docs = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
+    return map_batches(docs, ["doc_id", "row", "text"], rows, "doc_id long, row long, ids binary")
 
 
 def id_bytes(tokenizer: str) -> int:
@@ -168,13 +184,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> np
     folder, so that the texts are read and encoded once.
 
     Defined cases: a null or empty text is its end id alone; rows without doc_id come first;
-    rows of equal doc_id are in the order of a hash of their ids, then of the ids' bytes; a document longer than a block has
-    one of its own; an empty table writes no rows; other columns are ignored.
+    rows of equal doc_id are in the order of a hash of their ids, then of their place in the table; a document longer than a
+    block has one of its own; an empty table writes no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     kept = scratch_path(spark, "encoded")
     encode(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(kept)
-    encoded = spark.read.schema("doc_id long, ids binary").parquet(kept)
+    encoded = spark.read.schema("doc_id long, row long, ids binary").parquet(kept)
     width = id_bytes(tokenizer)
     ranks = rank_ids(encoded, width)
     rank_of = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.uint32)
@@ -185,14 +201,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> np
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number, start = TaskContext.get().partitionId(), 0, 0
-        names, lengths, parts = [], [], []
+        names, lengths, parts, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            nonlocal number, start, names, lengths, parts
+            nonlocal number, start, names, lengths, parts, held
             control, data = pack(np.concatenate(parts))
             row = {"file": file, "block": number, "start": start, "doc_ids": names, "lengths": lengths, "control": control, "data": data}
-            number, start = number + 1, start + sum(lengths)
-            names, lengths, parts = [], [], []
+            number, start = number + 1, start + held
+            names, lengths, parts, held = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], SCHEMA)
 
         for batch in batches:
@@ -200,13 +216,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> np
                 parts.append(shared.value[np.frombuffer(ids.as_py(), f"<u{width}")])
                 names.append(doc_id.as_py())
                 lengths.append(len(parts[-1]))
-                if sum(lengths) >= BLOCK_IDS:
+                held += lengths[-1]
+                if held >= BLOCK_IDS:
                     yield block()
         if parts:
             yield block()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
-    ordered = encoded.repartitionByRange(int(files), *order).sortWithinPartitions(*order, "ids")
+    # the row's place parts rows of one doc_id and equal ids, however many there are
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc(), F.col("row").asc()]
+    ordered = encoded.repartitionByRange(int(files), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(ranks)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     return ranks

@@ -28,6 +28,7 @@ def odd_rows():
     texts = [None, "", " \n\t ", "one", "Two words", "a" * 3000, "wörd " * 2000, "x@y.z 1.2.3.4 +1 555-123-4567", "<|endoftext|> hi <s>", "\x1c é́ ﬁ 🎉"]
     texts += [prose(rng, rng.randint(1, 120)) for _ in range(30)]
     texts += [texts[12]] * 4 + [texts[14] + " tail", "spam### " * 40, "again again again again again again again again " * 5]
+    texts += ["x <|ENDOFTEXT|> y<|EndOfText|>", "H\u0331 \u1e96 E\u0301 it's IT'S \u0130", prose(rng, 20_000), "\u5b57" * 100_000]
     sources = ["a", "b", None, "", "ünï"]
     rows = [(i, t, None if i % 7 == 0 else "en", sources[min(i % 9, 4)], None, i, 1, 2, "w", 3) for i, t in enumerate(texts)]
     rows += [(None, "no id at all", None, None, None, 0, 0, 0, "", 0), (5, texts[5], "en", "a", 1, 1, 1, 1, "", 1), (5, texts[5], "en", "a", 1, 1, 1, 1, "", 1)]
@@ -317,6 +318,30 @@ def test_token_files_read_back(spark, odd, empty, tmp_path, monkeypatch):
     assert token_output.read_ids(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_word_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        words = token_output.WordIds(f.read(), 2)
+    rng = random.Random(6)
+    bits = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "H\u0331", "\u1e96", "\u00c9", "E\u0301", " ", "\n", "\x1c", "\x85", "it's", "DON'T", "3", "12", "ab", "AB", "\ufb01", "\u03a3", "\U0001f389", "\x01", ".", ",,", "<|", "\u0301", "\u1e9e"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        assert np.frombuffer(words.of(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_files_of_alike_rows(spark, tmp_path):
+    rows = spark.range(300_000).select((F.col("id") % 2).alias("doc_id"), F.lit("").alias("text"))
+    path = str(tmp_path / "ids")
+    token_output.write_ids(rows, path, vocabulary("word_bpe_49k.json"), 2)
+    out = token_output.read_ids(spark, path).agg(F.count("*").alias("n"), F.sum("start").alias("s"), F.max("n_tokens").alias("m")).first()
+    assert (out["n"], out["s"], out["m"]) == (300_000, 300_000 * 299_999 // 2, 1)
+    files = spark.read.parquet(f"{path}/blocks").groupBy("file").agg(F.sum(F.size("doc_ids")).alias("n")).collect()
+    assert len(files) >= 4 and max(r["n"] for r in files) < 150_000
+
+
 def test_packed_numbers_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
