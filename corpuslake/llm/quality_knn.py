@@ -1,7 +1,8 @@
 """Quality scores by nearest-neighbour voting among labelled documents in a latent semantic space.
 
-A text's features are hashed counts: its words' shapes, beginnings and ends, and how it repeats
-words and lines. Log counts weighed by inverse document frequency are projected on the leading
+A text's features are hashed counts: its words' shapes, beginnings, ends and hashes of the whole
+words, and how it repeats words and lines. A word of over ``PIECE`` characters is cut into pieces
+that count as words, so no part of a text goes unread, be there blanks in it or not. Log counts weighed by inverse document frequency are projected on the leading
 singular directions of a bounded sample of labelled documents. The sample's latent vectors, of
 unit length, are broadcast; each task takes exact cosine products of its documents with all of
 them, block by block, and the ``NEIGHBOURS`` most similar vote with their labels, weighed by a
@@ -31,16 +32,21 @@ from .vocab import Memo
 SAMPLE_ROWS, FEATURES, DIMENSIONS = 4096, 4096, 64
 NEIGHBOURS, POWER, THRESHOLD = 24, 16, 0.3
 MARK = 0.1
+PIECE = 64
 BLOCK = 256
 SHAPES = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|([^\x00-\x7f]+)|(.)", re.DOTALL)
 
 
 class WordFeatures(Memo):
-    """Word -> its hashed features: its shape, first three and last three characters, each with its kind."""
+    """Word -> its hashed features, of each piece: its shape, first three and last three characters and all of it, each with its kind."""
 
     def make(self, word: str) -> tuple[int, ...]:
-        shape = SHAPES.sub(lambda m: "A" if m[1] else "a" if m[2] else "0" if m[3] else "é" if m[4] else m[5], word[:64])
-        return tuple(zlib.crc32(f.encode()) % FEATURES for f in (f"shape {shape}", f"start {word[:3]}", f"end {word[-3:]}"))
+        places: list[int] = []
+        for at in range(0, len(word), PIECE):
+            piece = word[at : at + PIECE]
+            shape = SHAPES.sub(lambda m: "A" if m[1] else "a" if m[2] else "0" if m[3] else "é" if m[4] else m[5], piece)
+            places += (zlib.crc32(f.encode("utf-8", "replace")) % FEATURES for f in (f"shape {shape}", f"start {piece[:3]}", f"end {piece[-3:]}", f"all {piece}"))
+        return tuple(places)
 
 
 def features(text: str, known: WordFeatures) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +127,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 42) -> Model:
-    """The model of at most ``SAMPLE_ROWS`` labelled rows that aren't held out, of the lowest hashes of their ids."""
-    drawn = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled"), "quality")
-    drawn = drawn.dropDuplicates(["labelled"]).orderBy(F.xxhash64(F.lit(seed), "labelled"), "labelled").limit(SAMPLE_ROWS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).dropDuplicates(["doc_id"])
+    """The model of at most ``SAMPLE_ROWS`` labelled rows that aren't held out, of the lowest hashes of their ids.
+
+    Of several labels of an id the lowest counts, of several texts the first in order; ids
+    without a document are left out.
+    """
+    drawn = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("quality"))
+    drawn = drawn.orderBy(F.xxhash64(F.lit(seed), "labelled"), "labelled").limit(SAMPLE_ROWS)
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures()
