@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -16,12 +19,20 @@ SPACES = " \t\n\x0b\f\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session takes a temporary folder; on a cluster, whose machines would
+    each see a folder of their own, that is an error.
+    """
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
-        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared)
     return shared.rstrip("/")
 
 
@@ -68,6 +79,23 @@ def global_rank(df: DataFrame, group: Sequence[str], bucket: str, order: Sequenc
     return joined.select(*(ranked[c] for c in df.columns), (F.col("_start") + F.col("_rank")).alias(name))
 
 
+def copy_numbers(rows: DataFrame, alike: Sequence[str]) -> DataFrame | None:
+    """``rows`` with ``copy``, which counts rows alike in the named columns from 0; None where there are none alike.
+
+    ``rows`` is a stored table with ``row`` from ``monotonically_increasing_id``. Its upper bits, the
+    partition that a row was written from, split a crowd of rows alike: they are numbered within
+    each partition, after those of the partitions before.
+    """
+    keyed = rows.withColumn("_alike", F.xxhash64(*alike)).withColumn("_from", F.shiftright("row", 33))
+    if keyed.groupBy("_alike").count().where("count > 1").isEmpty():
+        return None
+    before = Window.partitionBy("_alike").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy("_alike", "_from").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_alike", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_alike", "_from").orderBy("row")))
+    return numbered.join(starts, ["_alike", "_from"]).select(*(numbered[c] for c in rows.columns), (F.col("_start") + F.col("_nth") - 1).alias("copy"))
+
+
 def map_batches(df: DataFrame, columns: Sequence[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns only, so that the scan reads no others."""
     return df.select(*columns).mapInArrow(fn, schema)

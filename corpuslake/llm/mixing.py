@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored, word_count
+from .common import copy_numbers, cut, stored, word_count
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Documents of a block, about.
@@ -35,7 +35,7 @@ BROADCAST_SOURCES = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row per source throughout.
+    """(source, source_size, target) from (source, source_size): one row per source throughout, which its running sums take in one task.
 
     Sources by code point, null last, have the weights in turn. A source is held at its cap if the
     even level of those before it in order of cap to weight exceeds its own ratio of the two.
@@ -123,7 +123,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, s
         per_source = F.broadcast(per_source)
     placed = rows.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     kept = ["row", "doc_id", "source", "size", "hash", "chance"]
-    undecided = placed.where("chance > 0 and chance < 1").select(*kept, F.pmod("hash", "blocks").alias("block"))
+    undecided = placed.where("chance > 0 and chance < 1").select(*kept, "blocks")
+    numbered = copy_numbers(undecided, ["hash", "source"])
+    if numbered is not None:  # rows alike would have one hash and meet in one block
+        undecided = numbered.withColumn("hash", F.when(F.col("copy") > 0, F.xxhash64("hash", "copy")).otherwise(F.col("hash"))).drop("copy")
+    undecided = undecided.withColumn("block", F.pmod("hash", "blocks")).drop("blocks")
     decided = None
     while True:
         last = most <= BLOCK_ROWS

@@ -2,7 +2,8 @@
 
 Within each source the rows are shuffled by a seeded hash and ranked; a row's fractional rank
 ``(rank - u) / n`` spreads its source evenly over (0, 1], where ``u`` in [0, 1) is a seeded
-offset of the source, so that sources of one row don't meet at one point. Sorted by fractional
+offset of the source, so that sources of one row don't meet at one point. Of rows alike in all that
+is read, each but the first is shuffled by its number too. Sorted by fractional
 rank, any stretch of the order holds each source in its share; cutting the order at equal counts
 gives shards of the same mixture whose row counts differ by one at most (law ``rows``).
 
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, global_rank
+from .common import copy_numbers, cut, global_rank
 
 #: Hash buckets that a source's rows, and the whole order, are sorted in; more where rows are many.
 MIN_BUCKETS, MAX_BUCKETS, ROWS_PER_BUCKET = 1024, 65536, 50_000
@@ -51,8 +52,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, seed: int = 42, carry: Se
         crc.cast("long").alias("text_crc32"),
         *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)),
     )
-    rows = cut(rows.withColumn("hash", seeded(seed, F.col("doc_id"), F.col("text_crc32"))))
+    rows = cut(rows.withColumn("hash", seeded(seed, F.col("doc_id"), F.col("text_crc32"))).withColumn("row", F.monotonically_increasing_id()))
     total = rows.count()
+    numbered = copy_numbers(rows, ["source", "doc_id", "text_crc32", "size"])
+    if numbered is not None:  # rows alike would have one hash and meet in one bucket
+        again = seeded(seed, F.col("doc_id"), F.col("text_crc32"), F.col("copy"))
+        rows = cut(numbered.withColumn("hash", F.when(F.col("copy") > 0, again).otherwise(F.col("hash"))).drop("copy"))
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, total // ROWS_PER_BUCKET))
     within = [F.col("hash"), F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
 
@@ -94,7 +99,7 @@ def _crc_table() -> list[int]:
 def oracle(n_shards: int = 16, seed: int = 42) -> str:
     """DuckDB SQL for the rows of :func:`assign_shards`; CRC-32 is folded over the bytes."""
     number = "('0x' || substr(md5({}), 1, 13))::BIGINT"
-    row_hash = number.format(f"concat_ws(':', '{seed}', coalesce(doc_id::VARCHAR, 'null'), text_crc32::VARCHAR)")
+    first, again = (number.format(f"concat_ws(':', '{seed}', coalesce(doc_id::VARCHAR, 'null'), text_crc32::VARCHAR{more})") for more in ("", ", copy::VARCHAR"))
     offset = number.format(f"concat_ws(':', '{seed}', coalesce(source, 'null'))")
     return f"""
     WITH bytes AS (
@@ -106,7 +111,8 @@ def oracle(n_shards: int = 16, seed: int = 42) -> str:
                xor(list_reduce(list_prepend(4294967295::BIGINT, b),
                    lambda c, x: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
         FROM bytes),
-    hashed AS (SELECT *, {row_hash} AS h FROM rows),
+    copies AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, text_crc32, size) - 1 AS copy FROM rows),
+    hashed AS (SELECT *, CASE WHEN copy > 0 THEN {again} ELSE {first} END AS h FROM copies),
     ranked AS (
         SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32, size) AS r,
                count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total
