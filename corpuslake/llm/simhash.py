@@ -7,6 +7,11 @@ into tiles of about ``TILE`` fingerprints, and a row of the work table is one pa
 a task compares with numpy: exclusive-or of all pairs, then bit counts. No pair within the radius
 is missed, whatever the data.
 
+For near-duplicates by similarity there are longer fingerprints, of the set of a text's shingles
+(:func:`similar_links`): there the population count that tells tiles apart is that of the set
+itself, since two sets of a Jaccard similarity of ``s`` or more differ in size by that factor at most.
+What lies within a wide radius is a candidate, and the shingle sets of candidates confirm it exactly.
+
 A pair of tiles yields no list of pairs but the spanning links of what it connects, at most one
 per fingerprint. Links are then joined into components by rounds of large-star and small-star
 steps, all as Spark joins; nothing is gathered on the driver but the count of changed rows.
@@ -17,7 +22,8 @@ twenty is compared); see README for figures.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,14 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches, stored
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
+#: Near-duplicates by similarity: words of a shingle, Jaccard similarity, bits of the long fingerprint that may differ, in all and in the first quarter.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, FIRST_RADIUS = 5, 0.8, 60, 22
+#: Tiles of long fingerprints are cut by size so that SIZE_STEPS bands make up a factor of SIMILARITY.
+SIZE_STEPS = 4
 #: Fingerprints of a tile; a pair of tiles takes about TILE * STRIP * 9 bytes to compare.
-TILE, STRIP = 2048, 256
+TILE, LONG_TILE, STRIP = 2048, 8192, 128
+#: Ids of rows with candidates that are broadcast, at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -57,27 +69,96 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], rows, "doc_id long, fp long")
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning links of the pairs within the radius between two arrays of fingerprints (or within one, if they are the same)."""
-    parent: dict[int, int] = {}
+def shingle_set(text: str, width: int) -> set[bytes]:
+    """The shingles of a text, ASCII letters lower-cased; of fewer words the whole sequence."""
+    words = text.encode().lower().split()
+    if len(words) < width:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+
+
+def long_fingerprint(text: str, width: int = SIMILAR_SHINGLE, seed: int = SEED) -> tuple[list[int], int]:
+    """SimHash of the set of a text's shingles, as four signed 64-bit numbers, and the size of the set."""
+    shingles = shingle_set(text, width)
+    if not shingles:
+        return [0] * 4, 0
+    ones = np.zeros(256, np.int64)
+    for half in range(2):
+        raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed + half) for s in shingles]), np.uint8).reshape(-1, 16)
+        for at in range(0, len(raw), 1 << 14):
+            ones[128 * half : 128 * half + 128] += np.unpackbits(raw[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles)).view("<i8").tolist(), len(shingles)
+
+
+def long_fingerprints(docs: DataFrame, width: int = SIMILAR_SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, f0 to f3 long, size) of each whole text; all zero where there is no word."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [long_fingerprint(t.as_py() or "", width, seed) for t in batch.column(1)]
+            parts = [pa.array([f[i] for f, _ in found], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *parts, pa.array([n for _, n in found], pa.int64())], ["doc_id", "f0", "f1", "f2", "f3", "size"])
+
+    return map_batches(docs.select("doc_id", "text"), ["doc_id", "text"], rows, "doc_id long, f0 long, f1 long, f2 long, f3 long, size long")
 
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
 
-    links = []
+def tile_links(ids: np.ndarray, a: np.ndarray, other_ids: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning links of the pairs within the radius between two tiles of different fingerprints (or within one, if their ids are the same)."""
+    same = np.array_equal(ids, other_ids)
+    a, b = a[:, 0], b[:, 0]
+    nodes = ids if same else np.concatenate([ids, other_ids])
+    labels, shift, links = np.arange(len(nodes)), 0 if same else len(ids), []
     for at in range(0, len(a), STRIP):
-        near = np.bitwise_count(a[at : at + STRIP, None] ^ b[None, :]) <= radius
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            x, y = int(a[at + i]), int(b[j])
-            if x != y and (p := root(x)) != (q := root(y)):
-                parent[max(p, q)] = min(p, q)
-                links.append((x, y))
+        close = np.bitwise_count(a[at : at + STRIP, None] ^ b[None, :]) <= radius
+        if same:
+            close[np.arange(len(close)), at + np.arange(len(close))] = False
+        for i in np.flatnonzero(close.any(axis=1)).tolist():
+            others = np.flatnonzero(close[i]) + shift
+            own = labels[at + i]
+            found, where = np.unique(labels[others], return_index=True)
+            for label, j in zip(found.tolist(), others[where].tolist(), strict=True):
+                if label != own:
+                    labels[labels == label] = own
+                    links.append((int(nodes[at + i]), int(nodes[j])))
     return links
 
 
+def tile_candidates(ids: np.ndarray, a: np.ndarray, other_ids: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs to confirm, of those within the radius between two tiles of long fingerprints: each one's nearest, and the nearest that connect whatever the pairs connect.
+
+    At most three a fingerprint, however many lie within the radius of one another.
+    """
+    same = np.array_equal(ids, other_ids)
+    nodes = ids if same else np.concatenate([ids, other_ids])
+    labels, shift, links = np.arange(len(nodes)), 0 if same else len(ids), set()
+    least, nearest = np.full(len(b), 1 << 20), np.zeros(len(b), np.int64)
+    for at in range(0, len(a), STRIP):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + STRIP, None, 0] ^ b[None, :, 0]) <= FIRST_RADIUS)
+        i += at
+        d = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64)
+        kept = (d <= radius) & (i != j) if same else d <= radius
+        i, j, d = i[kept], j[kept], d[kept]
+        if not len(i):
+            continue
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        rows, starts = np.unique(i, return_index=True)
+        for row, others in zip(rows.tolist(), np.split(j + shift, starts[1:]), strict=True):
+            own = labels[row]
+            links.add((row, int(others[0])))
+            for label, k in zip(*np.unique(labels[others], return_index=True), strict=True):  # the first of each is the nearest
+                if label != own:
+                    labels[labels == label] = own
+                    links.add((row, int(others[k])))
+        order = np.lexsort((i, d, j))
+        columns, starts = np.unique(j[order], return_index=True)
+        better = d[order][starts] < least[columns]
+        columns, starts = columns[better], starts[better]
+        least[columns], nearest[columns] = d[order][starts], i[order][starts]
+    links |= {(int(nearest[k]), int(k) + shift) for k in np.flatnonzero(least <= radius)}
+    return sorted({(min(x, y), max(x, y)) for x, y in ((int(nodes[p]), int(nodes[q])) for p, q in links)})
+
+
 def cell_of(fp: Column) -> Column:
     """The four population counts as one number, base 32."""
     word = [F.bit_count(F.shiftrightunsigned(fp, 48 - 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
@@ -91,30 +172,76 @@ def neighbour_steps(radius: int) -> list[int]:
     return [a * 32768 + b * 1024 + c * 32 + d for a, b, c, d in steps if (a, b, c, d) >= (0, 0, 0, 0)]
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(src, dst): links that connect all fingerprints (column fp, distinct) within the radius of one another."""
-    placed = distinct.select("fp", cell_of(F.col("fp")).alias("cell"))
-    # at most 17^4 cells
-    cells = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
-    tiles = placed.join(cells, "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    tiles = cut(tiles.groupBy("cell", "part").agg(F.collect_list("fp").alias("fps")))
-    sent = tiles.withColumn("other", F.explode(F.transform(F.array(*map(F.lit, neighbour_steps(radius))), lambda step: F.col("cell") + step)))
-    met = tiles.select(F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("fps").alias("others"))
-    pairs = sent.join(met, "other").where((F.col("cell") < F.col("other")) | (F.col("part") <= F.col("other_part"))).select("fps", "others")
+def tiled_links(placed: DataFrame, fps: Sequence[str], steps: Sequence[int], radius: int, tile: int, found_in: Callable) -> DataFrame:
+    """(src, dst): what ``found_in`` finds in pairs of tiles of (node, fps, cell) whose cells differ by one of ``steps``, each unordered pair of cells once.
+
+    A row of the work table is a pair of tiles, joined by the one tile's own number: a crowded
+    cell, whatever its share of all rows, is so many tiles of their own.
+    """
+    # a row per cell: of 17^4 cells, or the bands of a logarithm, at most
+    cells = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    tiles = placed.join(F.broadcast(cells), "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = tiles.groupBy("cell", "part").agg(F.collect_list(F.struct("node", *fps)).alias("members"))
+    tiles = cut(members.select("cell", "part", *(F.col(f"members.{c}").alias(c) for c in ("node", *fps))))
+    mine = ["node", *fps]
+    theirs = [f"other_{c}" for c in mine]
+    sent = tiles.withColumn("other", F.explode(F.transform(F.array(*map(F.lit, steps)), lambda step: F.col("cell") + step)))
+    sent = sent.join(F.broadcast(cells.select(F.col("cell").alias("other"), "parts")), "other")
+    sent = sent.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where((F.col("cell") < F.col("other")) | (F.col("part") <= F.col("other_part")))
+    met = tiles.select(F.col("cell").alias("other"), F.col("part").alias("other_part"), *(F.col(c).alias(o) for c, o in zip(mine, theirs, strict=True)))
+    pairs = sent.join(met, ["other", "other_part"]).select(*mine, *theirs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            src, dst = [], []
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                for x, y in tile_links(a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64), radius):
-                    src.append(x)
-                    dst.append(y)
-            out = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (src, dst)]
-            yield pa.RecordBatch.from_arrays(out, ["src", "dst"])
+            found: list[tuple[int, int]] = []
+            for row in range(batch.num_rows):
+                at = [column[row].values.to_numpy() for column in batch.columns]
+                a, b = (np.stack(side, 1).view(np.uint64) for side in (at[1 : len(mine)], at[len(mine) + 1 :]))
+                found += found_in(at[0], a, at[len(mine)], b, radius)
+            yield pa.RecordBatch.from_arrays([pa.array([link[i] for link in found], pa.int64()) for i in range(2)], ["src", "dst"])
 
     return pairs.mapInArrow(compare, "src long, dst long")
 
 
+def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(src, dst): links that connect all fingerprints (column fp, distinct) within the radius of one another."""
+    return tiled_links(distinct.select(F.col("fp").alias("node"), "fp", cell_of(F.col("fp")).alias("cell")), ["fp"], neighbour_steps(radius), radius, TILE, tile_links)
+
+
+def similar_links(distinct: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """(src, dst): candidates among nodes (node, f0 to f3, size; different fingerprints) within the radius whose sizes allow the similarity; see :func:`tile_candidates`."""
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) * (SIZE_STEPS / -math.log(similarity))).cast("int")
+    fps = [f"f{i}" for i in range(4)]
+    return tiled_links(distinct.select("node", *fps, band.alias("cell")), fps, range(SIZE_STEPS + 1), radius, LONG_TILE, tile_candidates)
+
+
+def confirmed(links: DataFrame, texts: DataFrame, width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The links (src, dst) whose texts (row, text) have shingle sets of that Jaccard similarity or more."""
+    links = cut(links.distinct())
+    ids = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    linked = texts.join(F.broadcast(ids) if few else ids, F.col("row") == F.col("node"), "left_semi")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingle_set(t.as_py() or "", width)), np.uint64)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["row", "hashes"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(side.as_buffer(), np.uint64) for side in (x, y))
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(shared >= similarity * (len(a) + len(b) - shared))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["src", "dst"]).filter(pa.array(kept, pa.bool_()))
+
+    sets = linked.select("row", "text").mapInArrow(hashed, "row long, hashes binary")
+    one = links.join(sets.select(F.col("row").alias("src"), F.col("hashes").alias("a")), "src")
+    both = one.join(sets.select(F.col("row").alias("dst"), F.col("hashes").alias("b")), "dst")
+    return both.select("src", "dst", "a", "b").mapInArrow(similar, "src long, dst long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): each linked node with the smallest node that it is connected to.
 
@@ -157,16 +284,31 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return prints.join(named, F.col("fp") == F.col("print")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """The first row of each group of near-duplicates in the order that ``docs`` is stored in, columns unchanged.
+def deduplicated(docs: DataFrame, width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, seed: int = SEED) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest doc_id, columns unchanged.
+
+    Two texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` or more; groups are what links connect. Candidates are those whose 256-bit
+    fingerprints differ in at most ``radius`` bits (and the first 64 in FIRST_RADIUS); of a crowd
+    of candidates each one's nearest and a connecting few are confirmed, see README for what that misses.
 
-    Rows are told apart by their place, so null and repeated doc_ids lose no group.
+    Defined cases: rows are told apart by their place, so null and repeated doc_ids lose no group
+    (null comes last; of equal ids the first stored stays); null, empty and blank texts are one
+    group; an empty table gives no rows.
     """
     names = [f"col_{i}" for i in range(len(docs.columns))]
     placed = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), F.monotonically_increasing_id().alias("row"))
     placed = stored(placed, "dedup")
-    text = names[docs.columns.index("text")]
-    groups = near_duplicates(placed.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), width, radius, seed)
-    first = groups.where("doc_id = component_id").select("doc_id")
-    left = placed.join(first, F.col("row") == F.col("doc_id"), "left_semi")
+    text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
+    fps = [f"f{i}" for i in range(4)]
+    prints = cut(long_fingerprints(placed.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), width, seed).withColumnRenamed("doc_id", "row"))
+    distinct = cut(prints.groupBy(*fps).agg(F.min("row").alias("node"), F.min("size").alias("size")))
+    texts = placed.select("row", F.col(text).alias("text"))
+    linked = components(confirmed(similar_links(distinct, similarity, radius), texts, width, similarity))
+    known = distinct.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(*fps, F.coalesce("component", "node").alias("component"))
+    ids = placed.select(F.col("row").alias("at"), F.col(doc_id).cast("long").alias("id"))
+    # per fingerprint, then per group: no group meets in one task
+    best = prints.join(ids, F.col("row") == F.col("at")).groupBy(*fps).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    first = best.join(known, fps).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept"))
+    left = placed.join(first, F.col("row") == F.col("kept"), "left_semi")
     return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

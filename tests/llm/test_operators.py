@@ -167,10 +167,32 @@ def test_quality_votes_on_held_out_rows(spark, odd, empty):
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in out)
     assert len(rows_of(quality_knn.score(odd, model))) == len(odd_rows())
     assert quality_knn.score(empty, model).count() == 0
+    by_id = {i: t for i, t, *_ in rows}
+    known = quality_knn.WordFeatures()
+    for r in out[:60]:  # the vote by brute force
+        used, weights = quality_knn.features(by_id[r["doc_id"]], known)
+        x = np.zeros(quality_knn.FEATURES)
+        x[used] = weights
+        v = (x * model.idf) @ model.directions
+        similar = model.vectors @ (v / np.linalg.norm(v))
+        near = sorted(range(len(similar)), key=lambda j: -similar[j])[: quality_knn.NEIGHBOURS]
+        votes = [max(similar[j], 1e-3) ** quality_knn.POWER for j in near]
+        want = sum(w * model.labels[j] for w, j in zip(votes, near)) / sum(votes)
+        assert r["score"] == pytest.approx(want, abs=1e-3)
+    mixed = docs.unionByName(docs.where("doc_id % 7 = 0").withColumn("text", F.lit("zzz"))), marks.unionByName(marks.where("doc_id % 5 = 0").withColumn("quality", F.lit(0)))
+    models = [quality_knn.fit(d.repartition(n), m.repartition(n)) for n in (2, 5) for d, m in [mixed]]
+    assert (models[0].labels == models[1].labels).all() and np.allclose(models[0].idf, models[1].idf) and min(models[0].labels) == 0
     nobody = quality_knn.fit(empty, marks)
     assert {r["score"] for r in rows_of(quality_knn.score(odd, nobody))} == {0.5}
 
 
+def test_quality_features_read_whole_words():
+    known, word = quality_knn.WordFeatures(), "x" * 1000
+    seen = {tuple(quality_knn.features(word[:i] + "y" + word[i + 1 :], known)[0].tolist()) for i in (3, 70, 500, 800, 990)}
+    assert len(seen) == 5
+    assert quality_knn.features("\u5b57" * 2000, known)[0].tolist() != quality_knn.features("\u5b57" * 900 + "\u6f22" * 200 + "\u5b57" * 900, known)[0].tolist()
+
+
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
@@ -200,11 +222,90 @@ def test_simhash_equals_brute_force(odd, empty):
     least = {c: min((i for (i, *_), k in zip(rows, classes) if k == c and i is not None), default=None) for c in classes}
     want = Counter((i, f"{p:016x}", least[c]) for (i, *_), p, c in zip(rows, prints, classes))
     assert Counter(tuple(r) for r in simhash.near_duplicates(odd).collect()) == want
-    assert simhash.deduplicated(odd).count() == len(set(classes))
-    assert simhash.deduplicated(odd).columns == odd.columns
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def shingle_set(text, width=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + width]) for i in range(max(len(words) - width + 1, min(len(words), 1)))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def similar_classes(sets, least=0.8):
+    """Components of texts whose shingle sets have that similarity or more."""
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= least:
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(sets))]
+
+
+def test_near_copies_go_by_similarity(spark, odd, empty):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows, n = [], 0
+    for _ in range(60):  # a text, near copies of it well within the bound, and one that shares half of it
+        base = [rng.choice(words) for _ in range(rng.choice([150, 200, 900, 2000]))]
+        versions = [base, base]
+        for _ in range(4):
+            edited = list(base)
+            for _ in range(max(1, len(base) // 150)):
+                edited[rng.randrange(len(edited))] = rng.choice(words)
+            versions.append(edited)
+        half = len(base) // 2
+        versions += [base[:half] + [rng.choice(words) for _ in range(len(base) - half)]]
+        for v in versions:
+            rows.append((n, " ".join(v), "en", "s", 0, 0, 0, 0, "", 0))
+            n += 1
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"] for r in simhash.deduplicated(docs.repartition(5)).collect()}
+    sets = [shingle_set(t) for _, t, *_ in rows]
+    classes = similar_classes(sets)
+    least = {c: min(i for i, k in enumerate(classes) if k == c) for c in set(classes)}
+    wrong = kept ^ set(least.values())
+    assert len(wrong) <= 0.01 * len(rows), len(wrong)
+    for i in set(range(n)) - kept:
+        assert max(jaccard(sets[i], sets[j]) for j in range(n) if j != i) >= 0.8
+
+    out = simhash.deduplicated(odd)
+    assert out.columns == odd.columns
+    odd_sets = [shingle_set(t) for _, t, *_ in odd_rows()]
+    assert out.count() == len(set(similar_classes(odd_sets)))
+    assert simhash.deduplicated(empty).count() == 0
+
+
+def test_crowds_of_near_copies_make_few_candidates():
+    rng = np.random.default_rng(3)
+    a = np.full((2048, 4), 7, np.uint64)
+    a[:, 3] ^= rng.integers(0, 1 << 40, 2048).astype(np.uint64) & np.uint64(0xFFFFF)
+    a = np.unique(a, axis=0)
+    n, ids = len(a), np.arange(len(a))
+    for other, nodes in ((ids, n), (ids + 10_000, 2 * n)):
+        pairs = simhash.tile_candidates(ids, a, other, a, 60)
+        assert nodes - 1 <= len(pairs) <= 3 * nodes
+        parent = {}
+
+        def root(x):
+            while x in parent:
+                x = parent[x]
+            return x
+
+        for x, y in pairs:
+            if root(x) != root(y):
+                parent[root(x)] = root(y)
+        assert len({root(x) for pair in pairs for x in pair}) == 1 and len({x for pair in pairs for x in pair}) == nodes
+
+
 def test_simhash_links_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 64)
     rng = random.Random(4)
@@ -441,3 +542,57 @@ def test_posting_lists_keep_recall_with_many_lists(spark, monkeypatch):
         d[q] = np.inf
         hit += len(ids & set(np.argsort(d)[:10].tolist()))
     assert hit >= 0.92 * 10 * len(found), hit
+
+
+def test_posting_lists_are_balanced_and_the_driver_takes_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(posting_lists, "SAMPLE_ROWS", 1000)
+    monkeypatch.setattr(posting_lists, "ROWS_PER_LIST", 100)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(6000, 8)) * 0.3, rng.normal(size=(2000, 8)) * 3])  # most rows in a small ball
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(v)), pa.int64()), "embedding": pa.array(v.tolist(), pa.list_(pa.float64()))})).repartition(16)
+    rows = posting_lists.cut(posting_lists.usable(df, "vec_id", "embedding"))
+    assert 900 <= len(posting_lists.draw(rows, len(v), 42)) <= 1000 + posting_lists.TRIED
+    index, _ = posting_lists.build(rows)
+    assert index.sizes.sum() == len(v) and index.sizes.max() <= 4 * index.sizes.mean(), index.sizes
+
+
+def test_rows_of_one_vector_id_are_told_apart(spark):
+    rows = [(0, [0.0, 1.0], 1, 2.0), (0, [5.0, 5.0], 1, 2.0), (1, [0.0, 2.0], 1, 2.0), (2, [5.0, 6.0], 1, 2.0), (2, [5.0, 6.0], 1, 2.0), (3, [9.0, 9.0], None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, v double")
+    out = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in posting_lists.nearest_neighbours(df, F.col("vec_id") == 0, k=3).collect())
+    first = [(1, 1.0), (0, round(41**0.5, 6)), (2, round(50**0.5, 6))]
+    second = [(2, 1.0), (2, 1.0), (3, round(32**0.5, 6))]
+    assert out == sorted((0, i + 1, *hit) for ranking in (first, second) for i, hit in enumerate(ranking))
+
+
+def crowd(spark):
+    """100,000 rows alike in every column, written by several tasks, and some others."""
+    alike = spark.range(0, 100_000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("s").alias("source"))
+    return alike.unionByName(spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("t").alias("source")))
+
+
+def test_rows_alike_are_spread(spark):
+    rows = sharding.cut(crowd(spark).withColumn("row", F.monotonically_increasing_id()))
+    numbered = sharding.copy_numbers(rows, ["doc_id", "text", "source"])
+    r = numbered.groupBy("doc_id", "text").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("d"), F.min("copy").alias("a"), F.max("copy").alias("b")).where("doc_id is null").first()
+    assert (r["n"], r["d"], r["a"], r["b"]) == (100_000, 100_000, 0, 99_999)
+    assert sharding.copy_numbers(rows.where("doc_id is not null"), ["doc_id", "text", "source"]) is None
+    out = sharding.assign_shards(crowd(spark), 4).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.count_if(F.col("source") == "t").alias("t")).collect()
+    assert [(r["n"], r["m"]) for r in out] == [(25_500, 25_499)] * 4 and all(abs(r["t"] - 500) <= 2 for r in out)
+
+
+def test_mixing_rows_alike(spark):
+    out = mixing.mix(crowd(spark))
+    sums = {r["source"]: (r["n"], r["taken"], r["target"], r["copies"], r["size"]) for r in out.groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("copies").alias("copies"), F.first("source_size").alias("size")).collect()}
+    for n, taken, target, copies, size in sums.values():
+        assert abs(taken - target) <= max(9, 0.001 * target)
+        assert abs(copies - n * target / size) <= 3  # documents are balanced as well as words
+    assert sums["s"][0] == 100_000
+
+
+def test_mixing_balances_documents(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(1, 300)), f"s{i % 3}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect():
+        assert abs(r["copies"] - r["n"] * r["target"] / r["size"]) <= 3 and abs(r["taken"] - r["target"]) <= 600
