@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import params
 from corpuslake.functions.text import evidence_tokens, loose_name_key
-from corpuslake.operators.dense import hash_embed, sparse_cosine
+from corpuslake.operators.dense import cosine_pairs
 
 
 def evidence_rows(queries: DataFrame, hits: DataFrame, min_cosine: float = 0.01) -> DataFrame:
@@ -46,17 +46,15 @@ def book_profiles(chunks: DataFrame) -> DataFrame:
 def matches(required: DataFrame, profiles: DataFrame, threshold: float = params.MATCH_THRESHOLD) -> DataFrame:
     """(kind, name, document_id): required names that a book covers, by equal name or by cosine of hashed tokens.
 
-    Each distinct name is embedded once; similar names meet on shared buckets, so the threshold
-    must be above 0.
+    Each distinct name is embedded once, and names are compared block by block; the threshold must
+    be above 0.
     """
-    if threshold <= 0:
-        raise ValueError("threshold must be positive")
     want = required.select("kind", "name").distinct()
     have = profiles.select("kind", F.col("name").alias("own"), "document_id").distinct()
     same = want.withColumn("k", loose_name_key(F.col("name"))).join(have.withColumn("k", loose_name_key(F.col("own"))), ["kind", "k"]).select("kind", "name", "document_id")
     wanted = want.select(F.col("name").alias("doc_id"), F.col("name").alias("text")).distinct()
     owned = have.select(F.col("own").alias("doc_id"), F.col("own").alias("text")).distinct()
-    close = sparse_cosine(hash_embed(wanted), hash_embed(owned), threshold).select(F.col("left_id").alias("name"), F.col("right_id").alias("own"))
+    close = cosine_pairs(wanted, owned, threshold).select(F.col("left_id").alias("name"), F.col("right_id").alias("own"))
     near = want.join(close, "name").join(have, ["kind", "own"]).select("kind", "name", "document_id")
     return same.unionByName(near).distinct()
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,38 +16,46 @@ from pyspark.sql.pandas.types import to_arrow_type
 from corpuslake.functions import params
 
 
-def hashed_bucket(token: Column, dimensions: int) -> Column:
-    """The 128-bit md5 of a token modulo the dimensions, folded over four 32-bit parts."""
-    digest, rest = F.md5(token), F.lit(0).cast("long")
-    for i in range(4):
-        part = F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")
-        rest = (rest * F.lit((1 << 32) % dimensions) + part) % dimensions
-    return rest.cast("int")
+#: Tokens whose place and sign a task remembers.
+KNOWN_TOKENS = 1_000_000
 
 
-def hashed_sign(token: Column) -> Column:
-    """+1 or -1 by bit 8 of the md5: the low bit of the third hex digit from the right."""
-    return F.lit(1) - (F.conv(F.substring(F.md5(token), 30, 1), 16, 10).cast("int") % 2) * 2
+def embed(docs: DataFrame, dimensions: int = params.DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, vector array<double>): each text's unit vector of signed token counts; all zero without tokens, or where they cancel.
 
-
-def hash_embed(docs: DataFrame, dimensions: int = params.DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, bucket, w): the non-zero components of each text's unit vector; a text without tokens, or whose tokens cancel, has none."""
+    The digest of a token gives its place, modulo the dimensions, and its sign, by bit 8. Row by row, no shuffle.
+    """
     if dimensions <= 0:
-        raise ValueError("dimensions must be a positive integer")
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    counts = docs.select(F.col(id_col).alias("doc_id"), F.explode(words).alias("token")).groupBy("doc_id", "token").count()
-    placed = counts.select("doc_id", hashed_bucket(F.col("token"), dimensions).alias("bucket"), (hashed_sign(F.col("token")) * F.col("count")).alias("w"))
-    summed = placed.groupBy("doc_id", "bucket").agg(F.sum("w").alias("w")).where("w <> 0")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return summed.select("doc_id", "bucket", (F.col("w") / norm).alias("w"))
+        raise ValueError(f"a vector needs one dimension at least, not {dimensions}")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+        find = re.compile("[a-z0-9]+").findall
 
+        def placed(token: str) -> tuple[int, int]:
+            number = int(hashlib.md5(token.encode()).hexdigest(), 16)
+            if len(known) >= KNOWN_TOKENS:
+                known.clear()
+            known[token] = found = number % dimensions, 1 - 2 * (number >> 8 & 1)
+            return found
 
-def sparse_cosine(left: DataFrame, right: DataFrame, floor: float = 0.0) -> DataFrame:
-    """(left_id, right_id, cosine) of unit vectors in sparse form that share a bucket and reach a floor above 0."""
-    a = left.select(F.col("doc_id").alias("left_id"), "bucket", F.col("w").alias("lw"))
-    b = right.select(F.col("doc_id").alias("right_id"), "bucket", F.col("w").alias("rw"))
-    dots = a.join(b, "bucket").groupBy("left_id", "right_id").agg(F.sum(F.col("lw") * F.col("rw")).alias("cosine"))
-    return dots.where((F.col("cosine") >= floor) & (F.col("cosine") > 0))
+        for batch in batches:
+            vectors = np.zeros((batch.num_rows, dimensions))
+            for row, text in enumerate(batch.column(1)):
+                for token, n in Counter(find((text.as_py() or "").lower())).items():
+                    place, sign = known.get(token) or placed(token)
+                    vectors[row, place] += sign * n
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+            offsets = pa.array(np.arange(batch.num_rows + 1) * dimensions, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], ["doc_id", "vector"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(rows, f"doc_id {id_type}, vector array<double>")
+
+
+def hash_embed(docs: DataFrame, dimensions: int = params.DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, bucket, w): the non-zero components of :func:`embed`."""
+    return embed(docs, dimensions, id_col, text_col).select("doc_id", F.posexplode("vector").alias("bucket", "w")).where("w <> 0")
 
 
 def embed_distinct(docs: DataFrame, embed: Callable[[Iterator], Iterator], text_col: str = "text") -> DataFrame:
@@ -64,87 +75,159 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (whole > 0), dot(a, b) / whole).otherwise(F.lit(0.0))
 
 
-#: Vectors compared with a block of questions at once; questions and vectors that one group of the search holds, about.
+#: Vectors compared with questions at once; questions that are broadcast, or go in a group of the search; vectors of such a group, about.
 BLOCK, PART_QUERIES, PART_ROWS = 1024, 8192, 16384
+#: Hits that a task holds before it hands them on.
+HELD_HITS = 2_000_000
+
+
+def measurable(vector: str) -> Column:
+    """Whether a vector has a direction: not null, nothing in it null or infinite or not a number, something in it not zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0)
+
+
+def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one dimension as the rows of a matrix, each of length 1."""
+    v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def blocked(left: DataFrame, left_id: str, n_left: int, right: DataFrame, right_id: str, n_right: int, meet: Callable, schema: str) -> DataFrame:
+    """Both sides dealt by hash in groups of about PART_QUERIES and PART_ROWS rows; ``meet(left, right)`` for each pair of groups."""
+    blocks, parts = max(1, -(-n_left // PART_QUERIES)), max(1, -(-n_right // PART_ROWS))
+
+    def dealt(df: DataFrame, name: str, own: str, n: int, other: str, copies: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    keys = ["_block", "_part"]
+    a, b = dealt(left, left_id, "_block", blocks, "_part", parts), dealt(right, right_id, "_part", parts, "_block", blocks)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, schema)
+
+
+class Nearest:
+    """The k best hits of each question and group over the batches that :meth:`add` is given: by score to six places, then id."""
+
+    def __init__(self, questions: pa.Array, unit: np.ndarray, k: int, schema: pa.Schema) -> None:
+        self.questions, self.unit, self.k, self.schema = questions, unit, k, schema
+        self.held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, ids: pa.Array, groups: list[pa.Array], unit: np.ndarray) -> None:
+        kinds: dict[tuple, list[int]] = {}
+        for i, kind in enumerate(zip(*(g.to_pylist() for g in groups), strict=True) if groups else [()] * len(ids)):
+            kinds.setdefault(kind, []).append(i)
+        names = ids.to_numpy(zero_copy_only=False)
+        for kind, rows in kinds.items():
+            at = np.array(rows)
+            at = at[np.argsort(names[at], kind="stable")]
+            for start in range(0, len(at), BLOCK):
+                part = at[start : start + BLOCK]
+                # one number orders by score, then by id; no two are equal
+                order = np.rint(self.unit @ unit[part].T * 1e6).astype(np.int64) * BLOCK - np.arange(len(part))
+                if len(part) > self.k:
+                    order = -np.partition(-order, self.k - 1, axis=1)[:, : self.k]
+                near = -order % BLOCK
+                scores, found = (order + near) // BLOCK, names[part][near]
+                if kind in self.held:
+                    scores, found = np.concatenate([self.held[kind][0], scores], 1), np.concatenate([self.held[kind][1], found], 1)
+                best = np.lexsort((found, -scores), axis=1)[:, : self.k]
+                self.held[kind] = np.take_along_axis(scores, best, 1), np.take_along_axis(found, best, 1)
+
+    def full(self) -> bool:
+        return len(self.held) * len(self.unit) * self.k > HELD_HITS
+
+    def hits(self) -> pa.Table:
+        out = []
+        for kind, (scores, found) in self.held.items():
+            n = scores.shape[1]
+            asked = self.questions.take(pa.array(np.repeat(np.arange(len(scores)), n)))
+            fixed = [pa.array([value] * scores.size, self.schema.field(1 + i).type) for i, value in enumerate(kind)]
+            out.append(pa.table([asked, *fixed, pa.array(found.ravel(), self.schema.field("id").type), pa.array(scores.ravel() / 1e6)], schema=self.schema))
+        self.held = {}
+        return pa.concat_tables(out) if out else self.schema.empty_table()
 
 
 def dense_topk(
     queries: DataFrame, rows: DataFrame, k: int = params.TOP_K, floor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", groups: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(query_id, *groups, rank, id, score): the k nearest rows by cosine rounded to 6 places, then id, for each question and group.
+    """(query_id, *groups, rank, id, score): the k nearest rows by cosine rounded to 6 places, then id, for each question (query_id, vector) and group.
 
-    Blocks of ``queries`` (query_id, vector) meet parts of each group's rows, dealt by hash, and each such
-    pair keeps its own k best per question and group; only one count comes to the driver. Vectors that
-    are null, of length zero or of another dimension than the question's take no part.
+    Up to PART_QUERIES questions are broadcast, and each task keeps its own k best of each, so that
+    no row is shuffled; more questions meet the rows in blocks. Vectors take part if they have a
+    direction (see :func:`measurable`) and the questions' dimension; rows without id don't.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    asked = queries.select("query_id", "vector").where("vector is not null")
+    asked = queries.select("query_id", "vector").where(measurable("vector"))
     n_asked, low, dim = asked.agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
     if low != dim:
         raise ValueError("questions are of several dimensions")
-    nonzero = F.exists(vector_col, lambda x: x != 0) & (F.size(vector_col) == (dim or 0)) & F.forall(vector_col, lambda x: x.isNotNull())
-    usable = rows.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & nonzero).select(id_col, *groups, vector_col)
-    blocks = max(1, -(-n_asked // PART_QUERIES))
-    asked_type = to_arrow_type(queries.schema["query_id"].dataType)
-    id_type, query_type = rows.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    group_types = "".join(f"{g} {rows.schema[g].dataType.simpleString()}, " for g in groups)
-    types = [asked_type, *(to_arrow_type(rows.schema[c].dataType) for c in (*groups, id_col)), pa.float64()]
-    out_schema = pa.schema(list(zip(["query_id", *groups, "id", "score"], types, strict=True)))
-
-    def best(questions: pa.Table, held: pa.Table) -> pa.Table:
-        names = questions.column("query_id").to_pylist()
-        unit = np.array(questions.column("vector").to_pylist(), np.float64).reshape(len(names), dim)
-        length = np.linalg.norm(unit, axis=1)
-        names = [q for q, n in zip(names, length, strict=True) if n > 0]
-        unit = unit[length > 0] / length[length > 0, None]
-        found: list[pa.Table] = []
-        # rows of a group, in the order of their ids
-        columns = [held.column(c) for c in (*groups, id_col)]
-        kinds, own = list(zip(*(c.to_pylist() for c in columns[:-1]), strict=True)) or [()] * held.num_rows, columns[-1].to_pylist()
-        places: dict[tuple, list[int]] = {}
-        for i in sorted(range(held.num_rows), key=lambda i: own[i]):
-            places.setdefault(kinds[i], []).append(i)
-        for mine in places.values():
-            scores, near = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
-            for at in range(0, len(mine), BLOCK):
-                part = np.array(mine[at : at + BLOCK])
-                v = np.array(held.column(vector_col).take(pa.array(part)).to_pylist(), np.float64).reshape(len(part), dim)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                # what is kept so far has lower ids, so it stays first among equals
-                scores = np.concatenate([scores, np.round(unit @ v.T, 6)], 1)
-                near = np.concatenate([near, np.broadcast_to(part, (len(names), len(part)))], 1)
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                scores, near = np.take_along_axis(scores, order, 1), np.take_along_axis(near, order, 1)
-            chosen = pa.array(near.ravel())
-            q = np.repeat(np.arange(len(names)), near.shape[1])
-            values = [pa.array([names[i] for i in q], asked_type), *(c.take(chosen) for c in columns), pa.array(scores.ravel())]
-            found.append(pa.table(values, schema=out_schema))
-        return pa.concat_tables(found) if found else out_schema.empty_table()
-
-    keys = ["_block", "_kind", "_part"]
-    kinds = usable.withColumn("_kind", F.xxhash64(*groups) if groups else F.lit(0).cast("long"))
-    # a row per group
-    parts = kinds.groupBy("_kind").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("_parts"))
-    right = kinds.join(parts, "_kind").withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int"))
-    right = right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    left = left.crossJoin(parts.select(F.col("_kind").alias("_kind"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")))
-    close = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"query_id {query_type}, {group_types}id {id_type}, score double")
+    usable = rows.where(F.col(id_col).isNotNull() & (F.size(vector_col) == (dim or 0)) & measurable(vector_col)).select(id_col, *groups, vector_col)
+    kept = {"query_id": queries.schema["query_id"].dataType} | {g: rows.schema[g].dataType for g in groups} | {"id": rows.schema[id_col].dataType}
+    types = "".join(f"{name} {kind.simpleString()}, " for name, kind in kept.items()) + "score double"
+    schema = pa.schema([*((name, to_arrow_type(kind)) for name, kind in kept.items()), ("score", pa.float64())])
+
+    if n_asked <= PART_QUERIES:
+        shared = rows.sparkSession.sparkContext.broadcast(asked.toArrow().combine_chunks())  # PART_QUERIES rows at most
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vectors = shared.value.column("vector").combine_chunks()
+            nearest = Nearest(shared.value.column("query_id").combine_chunks(), matrix(vectors, dim), k, schema) if n_asked else None
+            for batch in batches if nearest else ():
+                nearest.add(batch.column(0), batch.columns[1:-1], matrix(batch.column(len(batch.columns) - 1), dim))
+                if nearest.full():
+                    yield from nearest.hits().to_batches()
+            if nearest:
+                yield from nearest.hits().to_batches()
+
+        close = usable.mapInArrow(search, types)
+    else:
+
+        def meet(questions: pa.Table, held: pa.Table) -> pa.Table:
+            if not questions.num_rows or not held.num_rows:
+                return schema.empty_table()
+            q, h = questions.combine_chunks(), held.combine_chunks()
+            nearest = Nearest(q.column("query_id").combine_chunks(), matrix(q.column("vector").combine_chunks(), dim), k, schema)
+            nearest.add(h.column(id_col).combine_chunks(), [h.column(g).combine_chunks() for g in groups], matrix(h.column(vector_col).combine_chunks(), dim))
+            return nearest.hits()
+
+        close = blocked(asked, "query_id", n_asked, usable, id_col, usable.count(), meet, types)
     if floor is not None:
         close = close.where(F.col("score") >= floor)
     rank = F.row_number().over(Window.partitionBy("query_id", *groups).orderBy(F.desc("score"), "id"))
     return close.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", *groups, "rank", "id", "score")
 
 
+def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, dimensions: int = params.DIMENSIONS) -> DataFrame:
+    """(left_id, right_id, cosine): texts (doc_id, text) of the two sides whose vectors reach a threshold above 0, compared block by block."""
+    if threshold <= 0:
+        raise ValueError("threshold must be positive")
+    a, b = (embed(side, dimensions).where(measurable("vector")) for side in (left, right))
+    kinds = [df.schema["doc_id"].dataType for df in (a, b)]
+    schema = pa.schema([("left_id", to_arrow_type(kinds[0])), ("right_id", to_arrow_type(kinds[1])), ("cosine", pa.float64())])
+
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return schema.empty_table()
+        mine, theirs = mine.combine_chunks(), theirs.combine_chunks()
+        unit = matrix(theirs.column("vector").combine_chunks(), dimensions)
+        out = []
+        for at in range(0, mine.num_rows, BLOCK):
+            part = mine.slice(at, BLOCK)
+            scores = matrix(part.column("vector").combine_chunks(), dimensions) @ unit.T
+            i, j = np.nonzero(scores >= threshold)
+            out.append(pa.table([part.column("doc_id").take(pa.array(i)), theirs.column("doc_id").take(pa.array(j)), pa.array(scores[i, j])], schema=schema))
+        return pa.concat_tables(out)
+
+    return blocked(a, "doc_id", left.count(), b, "doc_id", right.count(), meet, f"left_id {kinds[0].simpleString()}, right_id {kinds[1].simpleString()}, cosine double")
+
+
+def tagged(hits: DataFrame, rows: DataFrame, method: str, id_col: str = "doc_id") -> DataFrame:
+    """``hits`` with the columns of what they hit and the name of the method that found them."""
+    return hits.join(rows, id_col).withColumn("method", F.lit(method))
+
+
 def merged_topk(hits: DataFrame, k: int = params.TOP_K) -> DataFrame:
     """One ranking per question over all groups' hits."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = params.TOP_K, floor: float = 0.0) -> DataFrame:
-    """(query_id, rank, doc_id, score) by cosine of sparse unit vectors, rounded to 6 places, then doc_id."""
-    dots = sparse_cosine(queries, docs, floor).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("doc_id"), F.round("cosine", 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return dots.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

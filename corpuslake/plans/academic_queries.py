@@ -231,9 +231,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of no type: paragraphs, split at sentence ends and packed."""
     docs = table(spark, sf_dir, "documents")
     pages = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("unknown").alias("document_type"), F.lit(1).alias("page"), "text")
-    none = {c: "string" for c in ("title", "author", "subject", "subject_code", "academic_year")} | {c: "int" for c in ("semester", "marks", "question_number")}
-    meta = pages.select("document_id", "document_type", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
-    return chunk.chunk(chunk.paragraph_blocks(pages), meta).select("chunk_id", "document_id", "page", "text")
+    return chunk.chunk_pages(pages).select("chunk_id", "document_id", "page", "text")
 
 
 @register(

@@ -88,8 +88,9 @@ DENSE_CTES = f"""{DOC_EMBED}, {ITEM_EMBED},
 
 
 def dense_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    asked = dense.hash_embed(questions(spark, sf_dir), id_col="query_id")
-    return dense.sparse_topk(asked, dense.hash_embed(table(spark, sf_dir, "documents")), k)
+    asked = dense.embed(questions(spark, sf_dir), id_col="query_id").withColumnRenamed("doc_id", "query_id")
+    found = dense.dense_topk(asked, dense.embed(table(spark, sf_dir, "documents")), k, id_col="doc_id", vector_col="vector")
+    return found.where("score > 0").withColumnRenamed("id", "doc_id")
 
 
 @register("dense_topk_hash", f"WITH {DENSE_CTES} SELECT query_id, rank, doc_id, score FROM dense_all WHERE rank <= 5")

@@ -120,7 +120,7 @@ def test_dense_and_fusion(spark):
     assert fused[11] == pytest.approx(1 / 61 + 1 / 62) and fused[11] > fused[10] > fused[12]
     assert [r["doc_id"] for r in fuse.rerank(fuse.fuse(d, s), 2).orderBy("rank").collect()] == [11, 10]
     docs = spark.createDataFrame([(1, "same words"), (2, "same words"), (3, "")], "doc_id int, text string")
-    pairs = dense.sparse_cosine(dense.hash_embed(docs), dense.hash_embed(docs)).where("left_id = 1").collect()
+    pairs = dense.cosine_pairs(docs, docs, 1e-9).where("left_id = 1").collect()
     assert {r["right_id"]: round(r["cosine"], 9) for r in pairs} == {1: 1.0, 2: 1.0}
 
 
