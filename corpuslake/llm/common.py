@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .vocab import forget_other_stages
+
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -98,4 +100,9 @@ def copy_numbers(rows: DataFrame, alike: Sequence[str]) -> DataFrame | None:
 
 def map_batches(df: DataFrame, columns: Sequence[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns only, so that the scan reads no others."""
-    return df.select(*columns).mapInArrow(fn, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_other_stages()
+        return fn(batches)
+
+    return df.select(*columns).mapInArrow(task, schema)

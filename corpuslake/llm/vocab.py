@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
 
-#: Parsed files of this worker, by content key; a handful of entries.
+#: Parsed files and memos of this worker, by content key, for the tasks of one stage.
 _parsed: dict[str, Any] = {}
+_stage: list[int] = []
 
 
 def broadcast_file(spark: SparkSession, path: str):
@@ -18,11 +20,19 @@ def broadcast_file(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
+def forget_other_stages() -> None:
+    """Drops what this worker remembers once it has a task of another stage, so that memos don't pile up."""
+    task = TaskContext.get()
+    now = [task.stageId()] if task else []
+    if now != _stage:
+        _parsed.clear()
+        _stage[:] = now
+
+
 def once(key: str, make: Callable[[], Any]) -> Any:
-    """``make()``, called once for a key in this worker process."""
+    """``make()``, called once for a key in this worker process and stage."""
+    forget_other_stages()
     if key not in _parsed:
-        if len(_parsed) > 8:
-            _parsed.clear()
         _parsed[key] = make()
     return _parsed[key]
 
