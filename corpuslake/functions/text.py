@@ -117,5 +117,8 @@ def redirect_target(href: Column, host: str, parameter: str) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words joined by blanks; none where there are fewer."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    count = F.size(words) - (n - 1)
+    runs = F.slice(words, 1, count)
+    for i in range(1, n):  # a word at a time, all runs at once: an expression inside a lambda would be made anew for each run
+        runs = F.zip_with(runs, F.slice(words, i + 1, count), lambda run, word: F.concat(run, F.lit(" "), word))
+    return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))

@@ -18,6 +18,32 @@ def source_block(index: Column, labels: list[Column], body: Column) -> Column:
     return F.concat(head, F.lit("\n"), F.coalesce(body, F.lit("")))
 
 
+def web_block(index: Column, title: Column, url: Column, retrieved_at: Column, body: Column) -> Column:
+    """``[Web i] title (url), retrieved time`` over the body."""
+    when = F.when(retrieved_at.isNotNull() & (retrieved_at != ""), F.concat(F.lit(", retrieved "), retrieved_at)).otherwise(F.lit(""))
+    name = F.coalesce(F.nullif(title, F.lit("")), F.lit("Web result"))
+    return F.concat(F.lit("[Web "), index.cast("string"), F.lit("] "), name, F.lit(" ("), F.coalesce(url, F.lit("")), F.lit(")"), when, F.lit("\n"), F.coalesce(body, F.lit("")))
+
+
+def web_contexts(web: DataFrame, queries: DataFrame, max_chars: int = params.CONTEXT_CHARS, max_sources: int = params.CONTEXT_SOURCES) -> DataFrame:
+    """(query_id, n_sources, context) of web rows (query_id, rank, title, url, retrieved_at, text), numbered from 1 in order of rank.
+
+    Blocks are measured with the number 0, so the numbers do not bear on what fits.
+    """
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "url"))
+    parts = [F.col(c) for c in ("title", "url", "retrieved_at", "text")]
+    rows = web.withColumn("rank", place)
+    measured = rows.withColumn("block", web_block(F.lit(0), *parts))
+    order = Window.partitionBy("query_id").orderBy("rank")
+    used = F.sum(F.length("block") + 2).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = measured.withColumn("used", used).where((F.col("rank") <= max_sources) & ((F.col("rank") == 1) | (F.col("used") <= max_chars)))
+    numbered = fits.select("query_id", "rank", truncate(web_block(F.col("rank"), *parts), max_chars).alias("block"))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "block")))
+    joined = numbered.groupBy(F.col("query_id").alias("qid")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(ordered, lambda s: s["block"]), "\n\n").alias("c"))
+    out = queries.join(joined, F.col("query_id") == F.col("qid"), "left")
+    return out.select("query_id", F.coalesce("n", F.lit(0)).alias("n_sources"), F.coalesce("c", F.lit(EMPTY_NOTE)).alias("context"))
+
+
 def within_budget(hits: DataFrame, max_chars: int = params.CONTEXT_CHARS, max_sources: int = params.CONTEXT_SOURCES) -> DataFrame:
     """Leading rows of (query_id, rank, block) whose blocks, each with 2 characters between, fit; the first is always kept, and cut to the limit."""
     order = Window.partitionBy("query_id").orderBy("rank")

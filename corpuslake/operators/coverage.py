@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import params
-from corpuslake.functions.text import evidence_tokens, loose_name_key
+from corpuslake.functions.text import evidence_tokens, expand_aliases, loose_name_key, name_key, strip
 from corpuslake.operators.dense import cosine_pairs
+from corpuslake.sources.scratch import cut
 
 
 def evidence_rows(queries: DataFrame, hits: DataFrame, min_cosine: float = 0.01) -> DataFrame:
@@ -91,6 +92,29 @@ def rank_books(covered: DataFrame, titles: DataFrame, k: int | None = None) -> D
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def recommend(queries: DataFrame, hits: DataFrame, graph_names: DataFrame, profiles: DataFrame, titles: DataFrame, k: int = 3, top_hits: int = 10) -> DataFrame:
+    """(query_id, subject, no_syllabus_evidence, rank, document_id, title, score, n_matched, matched, missing): the books that best cover what each question's subject requires.
+
+    ``hits`` (query_id, rank, score, text, document_type, subject, topic, subtopic) are found for
+    the questions; ``graph_names`` (subject_key, kind, name, pos) is what the graph holds of a
+    subject; ``profiles`` and ``titles`` are of books. A question without evidence, or that no
+    book matches, has one row without a book.
+    """
+    asked = queries.withColumn("text", expand_aliases(strip(F.col("text"))))
+    near = cut(hits.where(F.col("rank") <= top_hits))
+    found = evidence_rows(asked, near)
+    subjects = best_subject(found)
+    used = widened(near, subjects).unionByName(found.join(subjects, "query_id", "left_anti"))
+    own = used.select("query_id", F.explode(F.create_map(F.lit("topic"), "topic", F.lit("subtopic"), "subtopic")).alias("kind", "name"), F.col("rank").alias("pos"))
+    drawn = subjects.join(graph_names, name_key(F.col("subject")) == F.col("subject_key")).select("query_id", "kind", "name", "pos")
+    wanted = required_names(own.where("name is not null and name <> ''"), drawn.where("name is not null and name <> ''"))
+    bare = subjects.join(wanted.where("kind = 'topic'").select("query_id").distinct(), "query_id", "left_anti")
+    wanted = cut(wanted.unionByName(bare.select("query_id", F.lit("topic").alias("kind"), F.col("subject").alias("name"), F.lit(1).alias("pos"))))
+    ranked = rank_books(coverage(wanted, matches(wanted, profiles)), titles, k)
+    rows = queries.select("query_id").join(found.select("query_id").distinct().withColumn("found", F.lit(True)), "query_id", "left").join(subjects, "query_id", "left").join(ranked, "query_id", "left")
+    return rows.select("query_id", "subject", F.col("found").isNull().alias("no_syllabus_evidence"), "rank", "document_id", "title", "score", "n_matched", "matched", "missing")
+
+
 def summary_text(ranked: DataFrame) -> DataFrame:
     """(query_id, summary): a sentence on the best book, and one on the next where there is one."""
     first = F.max(F.when(F.col("rank") == 1, F.concat("title", F.lit(" covers "), F.round(F.col("score") * 100, 0).cast("int").cast("string"), F.lit("% of the required topics."))))

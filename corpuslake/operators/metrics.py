@@ -70,6 +70,52 @@ def citations_valid(answer: Column, n_sources: Column) -> Column:
     return (F.size(cited) > 0) & F.forall(cited, lambda c: (c >= 1) & (c <= n_sources))
 
 
+def answer_checks(answers: DataFrame, n: int = 4, unknown: str = "sufficient information") -> DataFrame:
+    """(query_id, n_sources, faithfulness, source_correct, hallucinated) of answers (query_id, answer, sources array<string>).
+
+    Marks of sources and a lead-in are no content. An answer too short for an n-gram is faithful
+    only if it had no sources. It is hallucinated if it cites and holds n-grams that no source has, or
+    has no sources and does not say that it lacks information.
+    """
+    content = F.regexp_replace(F.regexp_replace("answer", r"\[Source \d+\]", ""), r"(?i)^\s*according\s+to\s*:?\s*", "")
+    rows = answers.select("query_id", "answer", F.size("sources").alias("n_sources"), words(content).alias("said"), words(F.array_join("sources", " ")).alias("read"))
+    rows = rows.select("query_id", "answer", "n_sources", F.array_distinct(ngrams(F.col("said"), n)).alias("own"), F.array_distinct(ngrams(F.col("read"), n)).alias("held"))
+    rows = rows.withColumn("shared", F.array_intersect("own", "held"))
+    shared, none = F.size("shared"), F.col("n_sources") == 0
+    faithful = F.when(F.size("own") > 0, shared / F.size("own")).otherwise(none.cast("double"))
+    beyond = (shared < F.size("own")) & F.col("answer").rlike(r"\[Source \d+\]")
+    return rows.select(
+        "query_id", "n_sources", F.round(faithful, 4).alias("faithfulness"), citations_valid(F.col("answer"), F.col("n_sources")).alias("source_correct"),
+        (beyond | (none & ~F.col("answer").contains(unknown))).alias("hallucinated"),
+    )
+
+
+def answer_summary(checks: DataFrame) -> DataFrame:
+    """One row (n, mean_faithfulness, relevance, source_correctness, hallucination_rate) of :func:`answer_checks`; rates of no answer are 0."""
+
+    def share(c: Column) -> Column:
+        return F.coalesce(F.round(F.avg(c), 4), F.lit(0.0))
+
+    return checks.agg(
+        F.count(F.lit(1)).alias("n"), share(F.col("faithfulness")).alias("mean_faithfulness"), share((F.col("n_sources") > 0).cast("int")).alias("relevance"),
+        share(F.col("source_correct").cast("int")).alias("source_correctness"), share(F.col("hallucinated").cast("int")).alias("hallucination_rate"),
+    )
+
+
+def extraction_quality(texts: DataFrame) -> DataFrame:
+    """(extraction_method, n, character_accuracy, word_recall) from (extraction_method, extracted, truth)."""
+    rows = texts.select("extraction_method", similarity(F.col("extracted"), F.col("truth")).alias("s"), word_recall(F.col("extracted"), F.col("truth")).alias("w"))
+    return rows.groupBy("extraction_method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 4).alias("character_accuracy"), F.round(F.avg("w"), 4).alias("word_recall"))
+
+
+def hit_documents(hits: DataFrame, titles: DataFrame) -> DataFrame:
+    """``hits`` (document_id, title, collection, ...) with ``doc``: its own id, else that of the document (id, known_title) with its title, else its title, else its collection."""
+    known = titles.groupBy("known_title").agg(F.min("id").alias("by_title"))
+    rows = hits.join(known, F.col("title") == F.col("known_title"), "left")
+    doc = F.coalesce(F.nullif("document_id", F.lit("")), "by_title", F.nullif("title", F.lit("")), "collection")
+    return rows.withColumn("doc", doc).drop("known_title", "by_title")
+
+
 def word_recall(extracted: Column, truth: Column) -> Column:
     """Share of the truth's distinct words that the extracted text holds; 1 where the truth has none."""
     wanted = F.array_distinct(words(truth))

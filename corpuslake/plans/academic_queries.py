@@ -10,6 +10,7 @@ from corpuslake.functions import params
 from corpuslake.operators import chunk, classify, coverage, generate, graph, metrics, route
 from corpuslake.sources import chunks as chunk_table
 from corpuslake.sources import intake, synth
+from corpuslake.sources.scratch import cut
 
 from .registry import Query, table
 
@@ -134,8 +135,8 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = graph.extract(structured(spark, sf_dir).persist())  # each label and edge kind reads it once
-    return graph.merge(nodes.persist(), edges.persist())
+    nodes, edges = graph.extract(cut(structured(spark, sf_dir)))  # each label and edge kind reads it once
+    return graph.merge(cut(nodes), cut(edges))
 
 
 GRAPH_SQL = """
@@ -212,8 +213,8 @@ def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = pages_of(spark, sf_dir).persist()
-    docs = typed(pages).persist()  # each document type's branch reads it
+    pages = cut(pages_of(spark, sf_dir))
+    docs = cut(typed(pages))  # each document type's branch reads it
     found = md.metadata(F.col("text"), F.col("first_page"), F.col("document_type"))
     meta = docs.select("document_id", "document_type", *(found[c].alias(c) for c in ("title", "author", "semester", "subject", "subject_code", "academic_year")), F.lit(None).cast("int").alias("marks"), F.lit(None).cast("int").alias("question_number"))
     topics = docs.where("document_type = 'syllabus'").select("document_id", F.explode(generate.syllabus_topics(F.col("text"))).alias("topic"))
