@@ -59,9 +59,13 @@ def words(text: Column) -> Column:
 
 def faithfulness(answer: Column, source: Column, n: int = 4) -> Column:
     """Share of the answer's distinct n-grams that its sources hold; 1 for an answer too short for one."""
-    own = F.array_distinct(ngrams(words(answer), n))
-    shared = F.size(F.array_intersect(own, ngrams(words(source), n)))
-    return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(shared / F.size(own))
+    return shared_grams(words(answer), words(source), n)
+
+
+def shared_grams(said: Column, read: Column, n: int = 4) -> Column:
+    """:func:`faithfulness` of arrays of words."""
+    own = F.array_distinct(ngrams(said, n))
+    return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(own, ngrams(read, n))) / F.size(own))
 
 
 def citations_valid(answer: Column, n_sources: Column) -> Column:
@@ -132,24 +136,29 @@ def quoted_answer(body: Column, max_chars: int = 400) -> Column:
     return F.concat(F.substring(body, 1, max_chars), F.lit(" [Source 1]"))
 
 
-def latency_summary(samples: DataFrame, by: str = "stage", value: str = "ms") -> DataFrame:
+def latency_summary(samples: DataFrame, by: str = "stage", value: str = "ms", buckets: int = 4096) -> DataFrame:
     """(by, n, mean, median, p95, min, max); p95 is the element at the whole part of 0.95 n, counted from 0.
 
-    The sorted place is found by counting equal values, so that no group is sorted in one task.
+    Places in the order are found by counting in buckets of equal width between least and most;
+    only the buckets that hold a wanted place are sorted, each in a task of its own.
     """
-    counts = samples.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
-    total = F.sum("c").over(Window.partitionBy(by))
-    placed = counts.withColumn("upto", upto).withColumn("n", total)
-
-    def at(place: Column) -> Column:
-        return F.min(F.when(F.col("upto") > place, F.col(value)))
-
-    return placed.groupBy(by).agg(
-        F.max("n").alias("n"),
-        F.round(F.sum(F.col(value) * F.col("c")) / F.max("n"), 4).alias("mean"),
-        F.round((at(F.expr("(n - 1) div 2")) + at(F.expr("n div 2"))) / 2, 4).alias("median"),
-        at(F.expr("n * 95 div 100")).alias("p95"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
+    rows = samples.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v"))
+    stats = rows.groupBy(F.col("_by").alias("_s")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_v"), 4).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    joined = rows.join(F.broadcast(stats), F.col("_by").eqNullSafe(F.col("_s"))).select("_by", "_v", "n", "min", "max")  # a row per stage
+    width = F.col("max") - F.col("min")
+    placed = joined.withColumn("_b", F.when(width > 0, F.floor((F.col("_v") - F.col("min")) / width * (buckets - 1))).otherwise(F.lit(0)))
+    counts = placed.groupBy("_by", "_b").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("n"))
+    upto = F.sum("_c").over(Window.partitionBy("_by").orderBy("_b"))  # ``buckets`` rows a stage
+    starts = counts.withColumn("_start", upto - F.col("_c")).withColumn("_place", F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"), F.expr("n * 95 div 100")))))
+    wanted = starts.where((F.col("_place") >= F.col("_start")) & (F.col("_place") < F.col("_start") + F.col("_c")))
+    wanted = wanted.groupBy(F.col("_by").alias("_w"), F.col("_b").alias("_wb"), "_start").agg(F.collect_set("_place").alias("_places"))
+    near = placed.join(F.broadcast(wanted), F.col("_by").eqNullSafe(F.col("_w")) & (F.col("_b") == F.col("_wb")))  # three rows a stage at most
+    at = F.col("_start") + F.row_number().over(Window.partitionBy("_by", "_b").orderBy("_v")) - 1
+    found = near.withColumn("_at", at).where(F.array_contains("_places", F.col("_at")))
+
+    def value_at(place: str) -> Column:
+        return F.max(F.when(F.col("_at") == F.expr(place), F.col("_v")))
+
+    median = F.round((value_at("(n - 1) div 2") + value_at("n div 2")) / 2, 4)
+    marks = found.groupBy(F.col("_by").alias("_m")).agg(median.alias("median"), value_at("n * 95 div 100").alias("p95"))
+    return stats.join(marks, F.col("_s").eqNullSafe(F.col("_m"))).select(F.col("_s").alias(by), "n", "mean", "median", "p95", "min", "max")

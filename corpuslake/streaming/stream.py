@@ -50,8 +50,11 @@ def throttle(events: DataFrame, limit: int, window_seconds: float) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(per_key, DECISIONS)
 
 
-def throttle_stream(events: DataFrame, limit: int, window_seconds: float) -> DataFrame:
-    """:func:`throttle` on a stream: accepted times are kept per key and dropped once the key has been quiet for a window."""
+def throttle_stream(events: DataFrame, limit: int, window_seconds: float, lateness: str = "10 minutes") -> DataFrame:
+    """:func:`throttle` on a stream: accepted times are kept per key, and dropped once the watermark has passed the last of them by a window.
+
+    Events later than ``lateness`` behind the latest are dropped, as are those without key or time.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def per_key(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -62,11 +65,12 @@ def throttle_stream(events: DataFrame, limit: int, window_seconds: float) -> Dat
         accepted = deque(state.get[0] if state.exists else [])
         made = decide(rows["ts"].astype("datetime64[us]").astype("int64").div(1e6).tolist(), accepted, limit, window_seconds)
         state.update((list(accepted),))
-        state.setTimeoutDuration(int(window_seconds * 1000) + 1000)
+        due = int((accepted[-1] + window_seconds) * 1000) + 1 if accepted else 0
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(allowed=[a for a, _ in made], retry_after=[round(r, 6) for _, r in made])[["key", "ts", "event_id", "allowed", "retry_after"]]
 
-    rows = events.select(F.col("key").cast("string").alias("key"), "ts", F.col("event_id").cast("long").alias("event_id"))
-    return rows.groupBy("key").applyInPandasWithState(per_key, DECISIONS, "accepted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select(F.col("key").cast("string").alias("key"), "ts", F.col("event_id").cast("long").alias("event_id")).where("key is not null and ts is not null")
+    return rows.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(per_key, DECISIONS, "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def request_metrics(events: DataFrame, by: str, value: str, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
