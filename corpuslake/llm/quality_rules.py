@@ -25,6 +25,7 @@ BUCKETS = 16_384
 THRESHOLD = -0.12
 #: Trusted documents that the target model is fitted on, at most.
 TRUSTED_ROWS = 20_000
+#: Words of a window; a power of two.
 WINDOW = 8
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -40,10 +41,10 @@ def with_words(docs: DataFrame, *keep: Column | str) -> DataFrame:
     return worded.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
 
 
-def ngrams(h: Column) -> Column:
-    """Buckets of all words and all pairs of adjacent words."""
-    pairs = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h)), lambda a, b: bucket(F.xxhash64(a, b)))
-    return F.concat(F.transform(h, bucket), F.when(F.size(h) > 1, pairs).otherwise(F.array().cast("array<int>")))
+def chained(h: Column, apart: int) -> Column:
+    """The hash of each number with that ``apart`` places on; of hashes of windows of as many words, those of windows twice as wide."""
+    both = F.zip_with(F.slice(h, 1, F.size(h) - apart), F.slice(h, 1 + apart, F.size(h)), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(h) > apart, both).otherwise(F.array().cast("array<bigint>"))
 
 
 def fit_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
@@ -54,7 +55,7 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """
     ids = trusted.select(F.col("doc_id").alias("good")).where("good is not null").distinct().orderBy(F.xxhash64("good"), "good").limit(TRUSTED_ROWS)
     flagged = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("good"), "left").select("text", F.col("good").isNotNull().cast("int").alias("is_good"))
-    grams = with_words(flagged, "is_good").select("is_good", F.explode(ngrams(F.col("h"))).alias("b"))
+    grams = with_words(flagged, "is_good").select("is_good", F.explode(F.concat("h", chained(F.col("h"), 1))).alias("gram")).select("is_good", bucket(F.col("gram")).alias("b"))
     counts = {row["b"]: (row["raw"], row["good"]) for row in grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("is_good").alias("good")).collect()}
     raw = [counts.get(b, (0, 0))[0] + 1 for b in range(BUCKETS)]
     good = [counts.get(b, (0, 0))[1] + 1 for b in range(BUCKETS)]
@@ -94,13 +95,18 @@ def measure(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD,
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("h") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("h") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("h", i, WINDOW)))).alias("windows"),
-        ngrams(F.col("h")).alias("grams"),
+        "h",
+        chained(F.col("h"), 1).alias("pairs"),
     )
+    windows, width = F.col("pairs"), 2
+    while width < WINDOW:
+        windows, width = chained(windows, width), 2 * width
+    rows = rows.withColumn("windows", windows)
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(table, b))
+    total = sum((F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(table, bucket(g))) for grams in ("h", "pairs")), start=F.lit(0.0))
+    n_grams = F.size("h") + F.size("pairs")
     repeats = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), repeated_words(F.col("windows"))).otherwise(F.lit(0))
-    rows = rows.select("doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.cast("long").alias("n_repeat_words"), F.coalesce(total / F.nullif(F.size("grams"), F.lit(0)), F.lit(0.0)).alias("score"))
+    rows = rows.select("doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.cast("long").alias("n_repeat_words"), F.coalesce(total / F.nullif(n_grams, F.lit(0)), F.lit(0.0)).alias("score"))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     rows = rows.withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select(
