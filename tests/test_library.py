@@ -231,3 +231,76 @@ def test_no_cartesian_product_and_no_python_in_search(spark):
     asked = spark.createDataFrame([(1, "beta")], "query_id int, text string")
     plan = bm25.bm25_topk(asked, docs)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_vectors_without_direction_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [inf, 0.0]), (4, [0.0, 0.0]), (5, [1.0, 1.0]), (6, None), (7, [1.0]), (8, [-1.0, 0.0])], "vec_id int, embedding array<double>")
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [nan, 0.0]), ("c", [0.0, -inf])], "query_id string, vector array<double>")
+    out = [(r["query_id"], r["rank"], r["id"], r["score"]) for r in dense.dense_topk(asked, rows, 5).orderBy("rank").collect()]
+    assert out == [("a", 1, 1, 1.0), ("a", 2, 5, 0.707107), ("a", 3, 8, -1.0)]
+    assert dense.dense_topk(asked.where("query_id = 'b'"), rows, 5).count() == 0
+    assert dense.dense_topk(asked, rows.where("vec_id = 2"), 5).count() == 0
+
+
+def test_question_and_book_blocks(spark):
+    pages = [("q", "past_question", 1, "Full Marks: 60\nQ1. Explain trees. (5 marks)\nwith figures\n2) Define heaps, briefly\n(3) State a law"), ("q", "past_question", 2, "   \n"), ("b", "library_book", 1, "A Book\nChapter 2: Trees\nText.\n2.1 Heaps\nMore.\nChapter III\nLast.")]
+    df = spark.createDataFrame(pages, "document_id string, document_type string, page int, text string")
+    topics = spark.createDataFrame([], "document_id string, topic string")
+    out = {(r["document_id"], r["pos"]): r for r in chunk.blocks(df, topics).collect()}
+    q = [out["q", i] for i in range(4)]
+    assert [(r["question_number"], r["topic"], r["marks"], r["section"]) for r in q] == [(None, None, None, None), (1, "trees", 5, "question"), (2, "heaps", None, "question"), (3, "a law", None, "question")]
+    assert q[1]["text"] == "Q1. Explain trees. (5 marks)\nwith figures" and ("q", 4) not in out
+    b = [out["b", i] for i in range(4)]
+    assert [(r["topic"], r["subtopic"]) for r in b] == [(None, None), ("Trees", None), ("Trees", "Heaps"), (None, None)]
+
+
+def test_long_blocks_are_cut_at_sentences(spark):
+    text = "One two three. Four five! " + "x" * 50 + " Six? Seven."
+    pages = spark.createDataFrame([("d", "unknown", 1, text), ("e", "unknown", 1, None), ("f", "unknown", 1, "short\n\nalso short")], "document_id string, document_type string, page int, text string")
+    out = [(r["document_id"], r["text"]) for r in chunk.chunk_pages(pages, 30, 0).orderBy("chunk_id").collect()]
+    assert out == [("d", "One two three. Four five!"), ("d", "x" * 50 + " Six?"), ("d", "Seven."), ("f", "short\n\nalso short")]
+    with pytest.raises(ValueError):
+        chunk.chunk_pages(pages, 0, 0)
+
+
+def test_answers_that_cite_or_invent(spark):
+    rows = [
+        (1, "According to [Source 1]: alpha beta gamma delta epsilon", ["alpha beta gamma delta epsilon zeta"]),
+        (2, "alpha beta gamma delta nothing of it [Source 2]", ["alpha beta gamma delta"]),
+        (3, "There is not sufficient information.", []),
+        (4, "Surely so it is, and ever was.", []),
+        (5, "too short", ["too short"]),
+    ]
+    out = {r["query_id"]: tuple(r)[1:] for r in metrics.answer_checks(spark.createDataFrame(rows, "query_id int, answer string, sources array<string>")).collect()}
+    assert out == {1: (1, 1.0, True, False), 2: (1, 0.25, False, True), 3: (0, 0.0, False, False), 4: (0, 0.0, False, True), 5: (1, 0.0, False, False)}
+
+
+def test_rules_and_web_blocks(spark):
+    rules = spark.createDataFrame([(2, ["Python", "version"]), (1, ["version", "java"]), (3, [])], "rule_no int, words array<string>")
+    asked = spark.createDataFrame([(1, "which Python version?"), (2, "java version of python"), (3, "pythonversion"), (4, None)], "query_id int, text string")
+    assert {tuple(r) for r in route.first_rule(asked, rules).collect()} == {(1, 2), (2, 1)}
+    web = spark.createDataFrame([(1, 1, "T", "http://u", "now", "x" * 30), (1, 2, None, "http://v", None, "y" * 30), (1, 3, "Z", "http://w", None, "z" * 30)], "query_id int, rank int, title string, url string, retrieved_at string, text string")
+    out = {r["query_id"]: (r["n_sources"], r["context"]) for r in context.web_contexts(web, asked, 130).collect()}
+    assert out[1] == (2, "[Web 1] T (http://u), retrieved now\n" + "x" * 30 + "\n\n[Web 2] Web result (http://v)\n" + "y" * 30)
+    assert out[2] == (0, context.EMPTY_NOTE)
+    titles = spark.createDataFrame([("d1", "T"), ("d0", "T")], "id string, known_title string")
+    hits = spark.createDataFrame([(1, "own", "T", "c"), (2, None, "T", "c"), (3, "", "U", "c"), (4, None, None, "c")], "n int, document_id string, title string, collection string")
+    assert {r["n"]: r["doc"] for r in metrics.hit_documents(hits, titles).collect()} == {1: "own", 2: "d0", 3: "U", 4: "c"}
+
+
+def test_recommendation_from_question_to_books(spark):
+    asked = spark.createDataFrame([(1, "books for dbms"), (2, "cooking"), (3, " ")], "query_id int, text string")
+    hits = [(1, 1, 0.9, "Database Management System tables", "syllabus", "DB", "Normalization", None), (1, 2, 0.5, "joins", "syllabus", "DB", "Joins", None), (1, 3, 0.4, "a book", "library_book", None, "x", None), (2, 1, 0.001, "nothing shared", "syllabus", "DB", "Joins", None)]
+    found = spark.createDataFrame(hits, "query_id int, rank int, score double, text string, document_type string, subject string, topic string, subtopic string")
+    drawn = spark.createDataFrame([("db", "topic", "Indexes", 1), ("db", "topic", "Joins", 2), ("other", "topic", "Zoo", 1)], "subject_key string, kind string, name string, pos int")
+    profiles = spark.createDataFrame([("b1", "topic", "Database Normalization"), ("b1", "topic", "joins!"), ("b2", "topic", "Joins"), ("b3", "topic", "Zoo")], "document_id string, kind string, name string")
+    titles = spark.createDataFrame([("b1", "First"), ("b2", "Second"), ("b3", "Third")], "document_id string, title string")
+    out = coverage.recommend(asked, found, drawn, profiles, titles).collect()
+    rows = sorted((r["query_id"], r["rank"] or 0, r["title"], r["no_syllabus_evidence"], r["score"], r["matched"], r["missing"]) for r in out)
+    assert rows == [
+        (1, 1, "First", False, round(0.85 * 2 / 3, 4), ["Normalization", "Joins"], ["Indexes"]),
+        (1, 2, "Second", False, round(0.85 / 3, 4), ["Joins"], ["Normalization", "Indexes"]),
+        (2, 0, None, True, None, None, None),
+        (3, 0, None, True, None, None, None),
+    ]
