@@ -40,6 +40,8 @@ SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, FIRST_RADIUS = 5, 0.8, 60, 22
 SIZE_STEPS = 4
 #: Fingerprints of a tile; a pair of tiles takes about TILE * STRIP * 9 bytes to compare.
 TILE, LONG_TILE, STRIP = 2048, 8192, 128
+#: A distance beyond any other.
+FAR = np.uint16(1 << 15)
 #: Ids of rows with candidates that are broadcast, at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -131,34 +133,48 @@ def tile_candidates(ids: np.ndarray, a: np.ndarray, other_ids: np.ndarray, b: np
     same = np.array_equal(ids, other_ids)
     nodes = ids if same else np.concatenate([ids, other_ids])
     labels, shift, links = np.arange(len(nodes)), 0 if same else len(ids), set()
-    least, nearest = np.full(len(b), 1 << 20), np.zeros(len(b), np.int64)
+    least, nearest = np.full(len(b), FAR), np.zeros(len(b), np.int64)
     for at in range(0, len(a), STRIP):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + STRIP, None, 0] ^ b[None, :, 0]) <= FIRST_RADIUS)
-        i += at
-        d = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64)
-        kept = (d <= radius) & (i != j) if same else d <= radius
-        i, j, d = i[kept], j[kept], d[kept]
-        if not len(i):
+        d = distances(a[at : at + STRIP], b, radius)
+        if d is None:
             continue
-        order = np.lexsort((j, d, i))
-        i, j, d = i[order], j[order], d[order]
-        rows, starts = np.unique(i, return_index=True)
-        for row, others in zip(rows.tolist(), np.split(j + shift, starts[1:]), strict=True):
-            own = labels[row]
-            links.add((row, int(others[0])))
-            for label, k in zip(*np.unique(labels[others], return_index=True), strict=True):  # the first of each is the nearest
-                if label != own:
-                    labels[labels == label] = own
-                    links.add((row, int(others[k])))
-        order = np.lexsort((i, d, j))
-        columns, starts = np.unique(j[order], return_index=True)
-        better = d[order][starts] < least[columns]
-        columns, starts = columns[better], starts[better]
-        least[columns], nearest[columns] = d[order][starts], i[order][starts]
+        if same:
+            d[np.arange(len(d)), at + np.arange(len(d))] = FAR
+        closest = d.argmin(axis=1)
+        for i in np.flatnonzero(d[np.arange(len(d)), closest] <= radius).tolist():
+            row, own = at + i, labels[at + i]
+            links.add((row, int(closest[i]) + shift))
+            others = np.flatnonzero(d[i] <= radius)
+            found = labels[others + shift]
+            if (found != own).any():
+                order = np.argsort(d[i, others], kind="stable")
+                for label, k in zip(*np.unique(found[order], return_index=True), strict=True):  # the first of each is the nearest
+                    if label != own:
+                        labels[labels == label] = own
+                        links.add((row, int(others[order[k]]) + shift))
+        mine = d.argmin(axis=0)
+        low = d[mine, np.arange(len(b))]
+        nearest, least = np.where(low < least, mine + at, nearest), np.minimum(low, least)
     links |= {(int(nearest[k]), int(k) + shift) for k in np.flatnonzero(least <= radius)}
     return sorted({(min(x, y), max(x, y)) for x, y in ((int(nodes[p]), int(nodes[q])) for p, q in links)})
 
 
+def distances(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray | None:
+    """Differing bits of each pair of two arrays of long fingerprints; FAR where the first 64 bits differ in more than FIRST_RADIUS. None where few are near and none within the radius."""
+    close = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= FIRST_RADIUS
+    i, j = np.nonzero(close)
+    if len(i) * 8 < close.size:
+        near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.uint16)
+        if not len(near) or near.min() > radius:
+            return None
+        d = np.full(close.shape, FAR)
+        d[i, j] = near
+        return d
+    d = sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.uint16) for k in range(a.shape[1]))
+    d[~close] = FAR
+    return d
+
+
 def cell_of(fp: Column) -> Column:
     """The four population counts as one number, base 32."""
     word = [F.bit_count(F.shiftrightunsigned(fp, 48 - 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
@@ -196,6 +212,9 @@ def tiled_links(placed: DataFrame, fps: Sequence[str], steps: Sequence[int], rad
             found: list[tuple[int, int]] = []
             for row in range(batch.num_rows):
                 at = [column[row].values.to_numpy() for column in batch.columns]
+                # by number, so that which of equals is taken does not hang on the order of a shuffle
+                orders = [np.argsort(at[0]), np.argsort(at[len(mine)])]
+                at = [c[orders[i >= len(mine)]] for i, c in enumerate(at)]
                 a, b = (np.stack(side, 1).view(np.uint64) for side in (at[1 : len(mine)], at[len(mine) + 1 :]))
                 found += found_in(at[0], a, at[len(mine)], b, radius)
             yield pa.RecordBatch.from_arrays([pa.array([link[i] for link in found], pa.int64()) for i in range(2)], ["src", "dst"])

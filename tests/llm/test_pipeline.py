@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from corpuslake.llm import pii
+from corpuslake.llm.common import stored
 
 from .test_operators import brute_counts, jaccard, shingle_set, similar_classes
 
@@ -16,8 +17,6 @@ SF = "/root/testdata/sf0.001"
 def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     tables = [docs.collect()]
-    from corpuslake.llm.common import stored
-
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), name.replace(" ", "-"))
         tables.append(docs.collect())
@@ -59,3 +58,17 @@ def test_columns_and_last_stage(stages):
     assert len(stages[5]) == len(stages[4])
     for r in stages[5]:
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(r["ids"])
+
+
+def test_odd_tables_go_through_all_stages(spark):
+    rows = [(i, " ".join(f"word{(i * 7 + j) % 97}x" for j in range(30 + i)), None if i % 3 else "en", None if i % 4 else "s", None, i, i, "c", 1) for i in range(20)]
+    rows += [(None, rows[3][1], None, "s", 1, 1, 1, "c", 1), (None, rows[5][1] + " more", None, None, 1, 1, 1, "c", 1), (7, None, None, None, None, 1, 1, "c", 1), (8, "", "en", "s", 0, 1, 1, "c", 1), (4, rows[4][1], "en", "s", 0, 1, 1, "c", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, task int, row int, carry_0 string, size int"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, SF), name.replace(" ", "-"))
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.columns == names
+        left = docs.collect()
+    assert left == []
