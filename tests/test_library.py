@@ -218,11 +218,16 @@ def test_throttle_and_upsert(spark, tmp_path):
     out = [(r["allowed"], r["retry_after"]) for r in stream.throttle(events, 2, 10.0).orderBy("event_id").collect()]
     assert out == [(True, 0.0), (True, 0.0), (False, 8.0), (True, 0.0), (True, 0.0)]
     new = spark.createDataFrame([("a:0", "x", "one two"), ("a:1", "y", "two")], "chunk_id string, collection string, text string")
+    path = str(tmp_path / "index")
+    nodes = spark.createDataFrame([("Topic", "a")], "label string, key string")
     for _ in range(2):  # run again, nothing changes
-        stream.index_batch(new, str(tmp_path / "index"))
-    version = stream.latest_version(new, str(tmp_path / "index"))
-    kept = chunk_table.read_collection(spark, str(tmp_path / "index" / f"v{version}" / "chunks"))
-    assert (version, kept.count()) == (2, 2)
+        stream.index_batch(new, path, 5, nodes)
+    assert stream.read_index(spark, path).count() == 2 and stream.read_index(spark, path, "nodes").count() == 1
+    stream.index_batch(spark.createDataFrame([("a:0", "x", "three")], new.schema), path)  # a newer text in place of the older
+    kept = stream.read_index(spark, path)
+    assert {r["chunk_id"]: r["text"] for r in kept.collect()} == {"a:0": "three", "a:1": "two"}
+    assert {(r["doc_id"], r["term"]) for r in stream.read_index(spark, path, "postings").collect()} == {("a:0", "three"), ("a:1", "two")}
+    assert sorted(r["version"] for r in stream.versions(spark, path).collect()) == [5, 6]
     assert {r["collection"]: r["n"] for r in chunk_table.collection_counts(kept).collect()} == {"x": 1, "y": 1}
 
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from corpuslake.sources.chunks import read_collection
+from corpuslake.operators import bm25
 from corpuslake.streaming import stream
 
 
@@ -27,9 +27,11 @@ def test_index_stream_equals_one_batch(spark, tmp_path):
         chunks.where(F.substring("chunk_id", 3, 1).cast("int") % 2 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "in"))
         stream.index_stream(source, str(tmp_path / "index"), str(tmp_path / "ck")).awaitTermination(120)
-    version = stream.latest_version(chunks, str(tmp_path / "index"))
-    kept = read_collection(spark, str(tmp_path / "index" / f"v{version}" / "chunks"))
-    assert version == 2 and sorted(r["chunk_id"] for r in kept.collect()) == [f"d:{i}" for i in range(6)]
+    kept = stream.read_index(spark, str(tmp_path / "index"))
+    assert stream.versions(spark, str(tmp_path / "index")).count() == 2 and sorted(r["chunk_id"] for r in kept.collect()) == [f"d:{i}" for i in range(6)]
+    batch = {tuple(r) for r in bm25.postings(chunks, "chunk_id").collect()}
+    held = stream.read_index(spark, str(tmp_path / "index"), "postings")
+    assert {tuple(r) for r in held.select(*bm25.postings(chunks, "chunk_id").columns).collect()} == batch
 
 
 def test_metrics_on_a_stream_wait_for_the_watermark(spark, tmp_path):
