@@ -142,12 +142,21 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     return struct.pack("<7I", *map(len, parts)) + b"".join(parts)
 
 
+def holds(path: str, content: bytes) -> bool:
+    """Whether a file is there and has the content; one that was cut short or altered is written anew."""
+    try:
+        with open(path, "rb") as f:
+            return f.read(len(content) + 1) == content
+    except OSError:
+        return False
+
+
 class Lexicon:
     """A compiled lexicon, mapped from a file of its own content's name in the worker's temporary folder."""
 
     def __init__(self, content: bytes) -> None:
         path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(content).hexdigest()[:24]}")
-        if not os.path.exists(path):
+        if not holds(path, content):
             with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as out:
                 out.write(content)
             os.replace(out.name, path)
@@ -196,8 +205,6 @@ class Splitter:
 class Encoder(Memo):
     """Stretch -> ids as bytes, filled on demand from the lexicon or by merging."""
 
-    SIZE = 500_000
-
     def __init__(self, bpe: ByteLevelBpe, lexicon: Lexicon) -> None:
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
@@ -282,8 +289,9 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, decode_too: bool =
     file, shipped = broadcast_file(spark, vocabulary), spark.sparkContext.broadcast(lexicon)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = once(hashlib.sha256(file.value).hexdigest(), lambda: ByteLevelBpe(file.value))
-        encoder = Encoder(bpe, Lexicon(shipped.value))
+        names = [hashlib.sha256(b.value).hexdigest() for b in (file, shipped)]
+        bpe = once(names[0], lambda: ByteLevelBpe(file.value))
+        encoder = once("".join(names), lambda: Encoder(bpe, Lexicon(shipped.value)))
         for batch in batches:
             at = 0
             while at < batch.num_rows:
