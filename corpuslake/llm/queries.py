@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, mixing, pii, posting_lists, quality_knn, quality_rules, sharding, simhash, token_counts, token_output
+from . import bpe_lexicon, chat_format, hard_negatives, merkle, mixing, pii, posting_lists, quality_knn, quality_rules, sharding, simhash, token_counts, token_output
 from .common import scratch_path
 
 
@@ -64,6 +64,20 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_lists.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_injection(spark.read.parquet(f"{sf_dir}/conversations.parquet"), spark)
+    return chat_format.digests(chat_format.write_conversations(turns))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved_on = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0, moved_on)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sharding,
@@ -76,9 +90,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_output,
         op9_pii,
         op10_posting_lists,
+        op11_chat_format,
+        op12_hard_negatives,
+        op13_merkle_manifest,
     ]
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle()}
+    return {"op1_sharding": sharding.oracle(), "op12_hard_negatives": hard_negatives.oracle(), "op13_merkle_manifest": merkle.oracle()}
