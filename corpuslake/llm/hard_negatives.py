@@ -221,7 +221,7 @@ def hard_negatives(
     """
     base = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     known = stored(usable(base, F.col("label") if label is None else label), "vectors")
-    bucket = F.pmod(F.xxhash64("label"), F.lit(LABEL_BUCKETS)).cast("int")
+    bucket, one_cell = (F.pmod(F.xxhash64("label"), F.lit(n)).cast("int") for n in (LABEL_BUCKETS, 1))
     asking, known = known.where(anchors), known.withColumn("limits", F.lit(None).cast("array<long>"))
     alike = F.array(F.lit(LARGEST_SCORE), F.lit(LOW)).cast("array<long>")
     near = met(tiled(asking.withColumn("limits", alike), bucket, ANCHOR_TILE), tiled(known, bucket, ROW_TILE), True, positives)
@@ -230,7 +230,6 @@ def hard_negatives(
     filled = F.concat("slots", F.array_repeat(F.lit(LOW), F.lit(positives) - F.size("slots")))
     least = F.expr(f"array_min(transform(positives, p -> (p.score * {lowest} - pmod(p.score * {lowest}, 100)) div 100))")
     ready = asking.join(chosen.select("anchor", F.concat(filled, F.array(least)).cast("array<long>").alias("limits")), F.col("row") == F.col("anchor")).drop("anchor")
-    one_cell = F.lit(0)
     other = best_of(met(tiled(ready, one_cell, ANCHOR_TILE), tiled(known, one_cell, ROW_TILE), False, negatives), negatives)
     found = other.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("slot", "best"))).alias("found"))  # as many as slots
     asked = chosen.join(found, "anchor").select("anchor", "slots", "found", F.explode(F.arrays_zip("positives", "upper")).alias("p"))

@@ -8,11 +8,14 @@ a task compares with numpy: exclusive-or of all pairs, then bit counts. No pair
 is missed, whatever the data.
 
 For near-duplicates by similarity there are longer fingerprints, of the set of a text's shingles
-(:func:`similar_links`): there the population count that tells tiles apart is that of the set
+(:func:`similar_components`): there the population count that tells tiles apart is that of the set
 itself, since two sets of a Jaccard similarity of ``s`` or more differ in size by that factor at most.
 What lies within a wide radius is a candidate, and the shingle sets of candidates confirm it exactly.
+All candidates are confirmed but those whose texts are connected already: where a pair of tiles holds few,
+at once; where it is crowded, in rounds, each of which tries a few links and compares again
+only what the confirmed ones have not connected.
 
-A pair of tiles yields no list of pairs but the spanning links of what it connects, at most one
+For op5's fingerprints a pair of tiles yields no list of pairs but the spanning links of what it connects, at most one
 per fingerprint. Links are then joined into components by rounds of large-star and small-star
 steps, all as Spark joins; nothing is gathered on the driver but the count of changed rows.
 
@@ -35,7 +38,11 @@ from .common import cut, map_batches, stored
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Near-duplicates by similarity: words of a shingle, Jaccard similarity, bits of the long fingerprint that may differ, in all and in the first quarter.
-SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, FIRST_RADIUS = 5, 0.8, 60, 22
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, FIRST_RADIUS = 5, 0.8, 66, 24
+#: Sets of up to so many shingles, whose fingerprints are coarse, are also looked for by what is left of each when one shingle is taken out.
+SMALL_SET = 8
+#: Candidates that a pair of tiles gives at once, for each of its texts, and the factor by which that grows with each round.
+FEW, GROWTH = 4, 8
 #: Tiles of long fingerprints are cut by size so that SIZE_STEPS bands make up a factor of SIMILARITY.
 SIZE_STEPS = 4
 #: Fingerprints of a tile; a pair of tiles takes about TILE * STRIP * 9 bytes to compare.
@@ -79,29 +86,37 @@ def shingle_set(text: str, width: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
 
 
-def long_fingerprint(text: str, width: int = SIMILAR_SHINGLE, seed: int = SEED) -> tuple[list[int], int]:
-    """SimHash of the set of a text's shingles, as four signed 64-bit numbers, and the size of the set."""
+def long_fingerprint(text: str, width: int = SIMILAR_SHINGLE, seed: int = SEED) -> tuple[list[int], int, list[int]]:
+    """SimHash of the set of a text's shingles, as four signed 64-bit numbers, the size of the set, and for a small set the keys of :func:`small_links`.
+
+    Keys are sums of hashes, modulo 2^64: of the set, then of the set without each of its shingles.
+    """
     shingles = shingle_set(text, width)
     if not shingles:
-        return [0] * 4, 0
+        return [0] * 4, 0, []
     ones = np.zeros(256, np.int64)
     for half in range(2):
         raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed + half) for s in shingles]), np.uint8).reshape(-1, 16)
         for at in range(0, len(raw), 1 << 14):
             ones[128 * half : 128 * half + 128] += np.unpackbits(raw[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(shingles)).view("<i8").tolist(), len(shingles)
+    keys: list[int] = []
+    if len(shingles) <= SMALL_SET:
+        hashes = np.array([xxhash.xxh3_64_intdigest(s, seed) for s in shingles], np.uint64)
+        keys = np.r_[hashes.sum(), hashes.sum() - hashes].view(np.int64).tolist()
+    return np.packbits(ones * 2 > len(shingles)).view("<i8").tolist(), len(shingles), keys
 
 
 def long_fingerprints(docs: DataFrame, width: int = SIMILAR_SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, f0 to f3 long, size) of each whole text; all zero where there is no word."""
+    """(doc_id, f0 to f3 long, size, keys) of each whole text; all zero where there is no word."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [long_fingerprint(t.as_py() or "", width, seed) for t in batch.column(1)]
-            parts = [pa.array([f[i] for f, _ in found], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *parts, pa.array([n for _, n in found], pa.int64())], ["doc_id", "f0", "f1", "f2", "f3", "size"])
+            parts = [pa.array([f[0][i] for f in found], pa.int64()) for i in range(4)]
+            more = [pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *parts, *more], ["doc_id", "f0", "f1", "f2", "f3", "size", "keys"])
 
-    return map_batches(docs.select("doc_id", "text"), ["doc_id", "text"], rows, "doc_id long, f0 long, f1 long, f2 long, f3 long, size long")
+    return map_batches(docs.select("doc_id", "text"), ["doc_id", "text"], rows, "doc_id long, f0 long, f1 long, f2 long, f3 long, size long, keys array<long>")
 
 
 def tile_links(ids: np.ndarray, a: np.ndarray, other_ids: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -125,38 +140,63 @@ def tile_links(ids: np.ndarray, a: np.ndarray, other_ids: np.ndarray, b: np.ndar
     return links
 
 
-def tile_candidates(ids: np.ndarray, a: np.ndarray, other_ids: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs to confirm, of those within the radius between two tiles of long fingerprints: each one's nearest, and the nearest that connect whatever the pairs connect.
+class Tile:
+    """One tile of long fingerprints: nodes, the components that they are in so far, sizes of their sets, fingerprints (4 columns)."""
 
-    At most three a fingerprint, however many lie within the radius of one another.
-    """
-    same = np.array_equal(ids, other_ids)
-    nodes = ids if same else np.concatenate([ids, other_ids])
-    labels, shift, links = np.arange(len(nodes)), 0 if same else len(ids), set()
-    least, nearest = np.full(len(b), FAR), np.zeros(len(b), np.int64)
+    def __init__(self, nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> None:
+        order = np.argsort(nodes)  # so that nothing hangs on the order of a shuffle
+        self.nodes, self.labels, self.sizes, self.prints = nodes[order], labels[order], sizes[order], prints[order]
+
+
+def open_pairs(one: Tile, other: Tile, same: bool, radius: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Strips (first row, distances) of the pairs of two tiles within the radius; FAR stands for all others, and for those whose sizes do not allow the similarity or which one component holds."""
+    a, b = one.prints, other.prints
     for at in range(0, len(a), STRIP):
         d = distances(a[at : at + STRIP], b, radius)
         if d is None:
             continue
+        mine, theirs = one.sizes[at : at + STRIP, None], other.sizes
+        out = (d > radius) | (one.labels[at : at + STRIP, None] == other.labels) | (np.minimum(mine, theirs) < similarity * np.maximum(mine, theirs))
         if same:
-            d[np.arange(len(d)), at + np.arange(len(d))] = FAR
-        closest = d.argmin(axis=1)
-        for i in np.flatnonzero(d[np.arange(len(d)), closest] <= radius).tolist():
-            row, own = at + i, labels[at + i]
-            links.add((row, int(closest[i]) + shift))
+            out |= np.arange(at, at + len(d))[:, None] >= np.arange(len(b))
+        d[out] = FAR
+        yield at, d
+
+
+def tile_candidates(one: Tile, other: Tile, same: bool, radius: int, similarity: float, most: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of nodes to confirm, of those within the radius between two tiles, and whether there are others.
+
+    All of them where they are ``most`` or fewer; else, if ``forest``, for each node its nearest of
+    each component that it is not connected to yet, so that the pairs connect whatever all pairs connect.
+    """
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+    for at, d in open_pairs(one, other, same, radius, similarity):
+        i, j = np.nonzero(d <= radius)
+        count += len(i)
+        if count > most:
+            break
+        kept.append((one.nodes[i + at], other.nodes[j]))
+    if count <= most:
+        return [pair for i, j in kept for pair in zip(i.tolist(), j.tolist(), strict=True)], False
+    if not forest:
+        return [], True
+    links = []
+    names, labels = np.unique(np.r_[one.labels, other.labels], return_inverse=True)
+    root = np.arange(len(names))
+    mine, theirs = labels[: len(one.labels)], labels[len(one.labels) :]
+    for at, d in open_pairs(one, other, same, radius, similarity):
+        for i in np.flatnonzero((d <= radius).any(axis=1)).tolist():
             others = np.flatnonzero(d[i] <= radius)
-            found = labels[others + shift]
-            if (found != own).any():
-                order = np.argsort(d[i, others], kind="stable")
-                for label, k in zip(*np.unique(found[order], return_index=True), strict=True):  # the first of each is the nearest
-                    if label != own:
-                        labels[labels == label] = own
-                        links.add((row, int(others[order[k]]) + shift))
-        mine = d.argmin(axis=0)
-        low = d[mine, np.arange(len(b))]
-        nearest, least = np.where(low < least, mine + at, nearest), np.minimum(low, least)
-    links |= {(int(nearest[k]), int(k) + shift) for k in np.flatnonzero(least <= radius)}
-    return sorted({(min(x, y), max(x, y)) for x, y in ((int(nodes[p]), int(nodes[q])) for p, q in links)})
+            own, found = root[mine[at + i]], root[theirs[others]]
+            if (found == own).all():
+                continue
+            order = np.argsort(d[i, others], kind="stable")
+            for label, k in zip(*np.unique(found[order], return_index=True), strict=True):  # the first of each is the nearest
+                if label != own:
+                    root[root == label] = own
+                    links.append((int(one.nodes[at + i]), int(other.nodes[others[order[k]]])))
+    return links, True
 
 
 def distances(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray | None:
@@ -227,11 +267,80 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return tiled_links(distinct.select(F.col("fp").alias("node"), "fp", cell_of(F.col("fp")).alias("cell")), ["fp"], neighbour_steps(radius), radius, TILE, tile_links)
 
 
-def similar_links(distinct: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """(src, dst): candidates among nodes (node, f0 to f3, size; different fingerprints) within the radius whose sizes allow the similarity; see :func:`tile_candidates`."""
+PAIR = ["cell", "part", "other", "other_part"]
+
+
+def similar_tiles(distinct: DataFrame, similarity: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, f0 to f3, size) with the tile (cell, part) that they are in, by size, and the pairs of tiles whose sizes allow the similarity, each once."""
     band = F.floor(F.log(F.greatest("size", F.lit(1))) * (SIZE_STEPS / -math.log(similarity))).cast("int")
-    fps = [f"f{i}" for i in range(4)]
-    return tiled_links(distinct.select("node", *fps, band.alias("cell")), fps, range(SIZE_STEPS + 1), radius, LONG_TILE, tile_candidates)
+    placed = distinct.select("node", "size", *(f"f{i}" for i in range(4)), band.alias("cell"))
+    cells = cut(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts")))  # a row for each band of a logarithm
+    nodes = placed.join(F.broadcast(cells), "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    upper = cells.select(F.col("cell").alias("other"), F.col("parts").alias("other_parts"))
+    pairs = cells.withColumn("other", F.explode(F.transform(F.array(*map(F.lit, range(SIZE_STEPS + 1))), lambda step: F.col("cell") + step))).join(F.broadcast(upper), "other")
+    pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = pairs.withColumn("other_part", F.explode(F.sequence(F.when(F.col("cell") == F.col("other"), F.col("part")).otherwise(0), F.col("other_parts") - 1)))
+    return cut(nodes), pairs.select(*PAIR)
+
+
+def compared(nodes: DataFrame, pairs: DataFrame, radius: int, similarity: float, few: int, alone: bool) -> DataFrame:
+    """A stored table of candidates (src, dst) from the pairs of tiles (PAIR), and a row with PAIR for each pair of tiles that has others.
+
+    ``nodes`` is (node, label, size, f0 to f3, cell, part). With ``alone``, a crowded pair gives candidates only if it is a tile with itself.
+    """
+    columns = ["node", "label", "size", *(f"f{i}" for i in range(4))]
+    wanted = pairs.select("cell", "part").union(pairs.select("other", "other_part")).distinct()
+    members = nodes.join(wanted, ["cell", "part"], "left_semi").groupBy("cell", "part").agg(F.collect_list(F.struct(*columns)).alias("members"))
+    tiles = cut(members)
+    met = tiles.select(F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("members").alias("others"))
+    work = pairs.join(tiles, ["cell", "part"]).join(met, ["other", "other_part"]).select(*PAIR, "members", "others")
+
+    def tile_of(members: pa.Scalar) -> Tile:
+        at = [members.values.field(c).to_numpy() for c in columns]
+        return Tile(at[0], at[1], at[2], np.stack(at[3:], 1).view(np.uint64))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = [batch.column(c)[row].as_py() for c in PAIR]
+                one, other, same = tile_of(batch.column("members")[row]), tile_of(batch.column("others")[row]), at[:2] == at[2:]
+                links, more = tile_candidates(one, other, same, radius, similarity, few * (len(one.nodes) + len(other.nodes)), same or not alone)
+                src, dst = ([link[i] for link in links] + [None] * more for i in range(2))
+                left = [[None] * len(links) + [x] * more for x in at]
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), *(pa.array(x, pa.int32()) for x in left)], ["src", "dst", *PAIR])
+
+    return stored(work.mapInArrow(compare, "src long, dst long, cell int, part int, other int, other_part int"), "candidates")
+
+
+def small_links(distinct: DataFrame) -> DataFrame:
+    """(src, dst): small sets one of which is the other without one shingle, by keys (see :func:`long_fingerprint`)."""
+    whole = distinct.where((F.col("size") > 0) & (F.col("size") < SMALL_SET)).select(F.col("keys")[0].alias("key"), F.col("node").alias("src"))
+    less = distinct.where(F.size("keys") > 2).select(F.explode(F.slice("keys", 2, SMALL_SET)).alias("key"), F.col("node").alias("dst"))
+    return less.join(whole, "key").where("src <> dst").select("src", "dst")
+
+
+def similar_components(distinct: DataFrame, texts: DataFrame, width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, tile: int = LONG_TILE, few: int = FEW) -> DataFrame:
+    """(node, component) of nodes (node, f0 to f3, size, keys; different fingerprints) that links connect to another; see :func:`components`.
+
+    A link is a pair within the radius whose texts (row, text) have shingle sets of that similarity or more.
+    The rounds end when no pair within the radius joins two components and has not been confirmed
+    or refused; what a pair of tiles gives at once grows, up to all of its pairs.
+    """
+    nodes, pairs = similar_tiles(distinct, similarity, tile)
+    labelled, linked, first = nodes.withColumn("label", F.col("node")), None, True
+    while True:
+        found = compared(labelled, pairs, radius, similarity, few, alone=first)
+        links = found.where("src is not null").select("src", "dst")
+        links = confirmed(links.unionByName(small_links(distinct)) if first else links, texts, width, similarity)
+        if linked is not None:
+            links = links.unionByName(linked.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+        linked = components(links)
+        pairs = found.where("src is null").select(*PAIR)
+        if pairs.isEmpty():
+            return linked
+        own = linked.select(F.col("node").alias("linked"), "component")
+        labelled = nodes.join(own, F.col("node") == F.col("linked"), "left").withColumn("label", F.coalesce("component", "node")).drop("linked", "component")
+        few, first = few if first else few * GROWTH, False
 
 
 def confirmed(links: DataFrame, texts: DataFrame, width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -308,8 +417,8 @@ def deduplicated(docs: DataFrame, width: int = SIMILAR_SHINGLE, similarity: floa
 
     Two texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of
     ``similarity`` or more; groups are what links connect. Candidates are those whose 256-bit
-    fingerprints differ in at most ``radius`` bits (and the first 64 in FIRST_RADIUS); of a crowd
-    of candidates each one's nearest and a connecting few are confirmed, see README for what that misses.
+    fingerprints differ in at most ``radius`` bits (and the first 64 in FIRST_RADIUS), and small sets
+    that differ by one shingle; all of them are confirmed but those that others have connected.
 
     Defined cases: rows are told apart by their place, so null and repeated doc_ids lose no group
     (null comes last; of equal ids the first stored stays); null, empty and blank texts are one
@@ -321,9 +430,9 @@ def deduplicated(docs: DataFrame, width: int = SIMILAR_SHINGLE, similarity: floa
     text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
     fps = [f"f{i}" for i in range(4)]
     prints = cut(long_fingerprints(placed.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), width, seed).withColumnRenamed("doc_id", "row"))
-    distinct = cut(prints.groupBy(*fps).agg(F.min("row").alias("node"), F.min("size").alias("size")))
+    distinct = cut(prints.groupBy(*fps).agg(F.min("row").alias("node"), F.min("size").alias("size"), F.min("keys").alias("keys")))
     texts = placed.select("row", F.col(text).alias("text"))
-    linked = components(confirmed(similar_links(distinct, similarity, radius), texts, width, similarity))
+    linked = similar_components(distinct, texts, width, similarity, radius)
     known = distinct.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(*fps, F.coalesce("component", "node").alias("component"))
     ids = placed.select(F.col("row").alias("at"), F.col(doc_id).cast("long").alias("id"))
     # per fingerprint, then per group: no group meets in one task

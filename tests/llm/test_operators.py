@@ -284,15 +284,88 @@ def test_near_copies_go_by_similarity(spark, odd, empty):
     assert simhash.deduplicated(empty).count() == 0
 
 
-def test_crowds_of_near_copies_make_few_candidates():
+def edited_copies(rng, originals, copies, length, edits):
+    """Texts and copies of them with some words changed, each a list of words."""
+    words = [f"w{i}" for i in range(5000)]
+    out = []
+    for _ in range(originals):
+        base = [rng.choice(words) for _ in range(length)]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rng.randint(*edits)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            out.append(own)
+    return out
+
+
+def least_of_groups(sets):
+    """The first of each group of sets of similarity 0.8 or more, found over an index of their elements."""
+    held = defaultdict(list)
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, own in enumerate(sets):
+        shared = Counter(j for x in own for j in held[x])
+        for j, n in shared.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+        for x in own:
+            held[x].append(i)
+    return {root(i) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("originals, copies, length, edits", [(40, 8, 60, (1, 3)), (40, 8, 25, (1, 3)), (60, 6, 9, (0, 1)), (1, 900, 120, (2, 6)), (2, 400, 200, (1, 3))])
+def test_no_link_of_edited_copies_is_lost(spark, originals, copies, length, edits):
+    rng = random.Random(length)
+    texts = edited_copies(rng, originals, copies, length, edits)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t), "en", "s", 0, 0, 0, 0, "", 0) for i, t in enumerate(texts)]
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    want = least_of_groups([shingle_set(r[1]) for r in rows])
+    assert kept == want and len(want) < len(rows)
+
+
+def test_short_texts_that_differ_by_one_shingle(spark):
+    rng = random.Random(21)
+    texts = [t for i in range(900) for base in edited_copies(rng, 1, 1, 8 + i % 6, (0, 0)) for t in (base, base[:-1])]
+    rows = [(i, " ".join(t), "en", "s", 0, 0, 0, 0, "", 0) for i, t in enumerate(texts)]
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert kept == least_of_groups([shingle_set(r[1]) for r in rows]) and len(kept) == 1050
+
+
+def test_crowded_tiles_are_compared_in_rounds(spark):
+    rng = random.Random(9)
+    texts = edited_copies(rng, 3, 150, 80, (3, 7)) + edited_copies(rng, 100, 1, 80, (0, 0))
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string")
+    prints = simhash.long_fingerprints(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "node")
+    found = {r["node"]: r["component"] for r in simhash.similar_components(prints, rows, tile=40, few=1).collect()}
+    assert {found.get(i, i) for i in range(len(texts))} == least_of_groups([shingle_set(" ".join(t)) for t in texts])
+
+
+def tile_of(rng, n, bits, first=0, labels=None):
+    prints = np.full((n, 4), 7, np.uint64)
+    prints[:, 3] ^= rng.integers(0, 1 << bits, n).astype(np.uint64)
+    nodes = np.arange(first, first + n)
+    return simhash.Tile(nodes, nodes if labels is None else labels, np.full(n, 50), prints)
+
+
+def test_tiles_give_all_pairs_or_what_connects_components():
     rng = np.random.default_rng(3)
-    a = np.full((2048, 4), 7, np.uint64)
-    a[:, 3] ^= rng.integers(0, 1 << 40, 2048).astype(np.uint64) & np.uint64(0xFFFFF)
-    a = np.unique(a, axis=0)
-    n, ids = len(a), np.arange(len(a))
-    for other, nodes in ((ids, n), (ids + 10_000, 2 * n)):
-        pairs = simhash.tile_candidates(ids, a, other, a, 60)
-        assert nodes - 1 <= len(pairs) <= 3 * nodes
+    one, other = tile_of(rng, 300, 60), tile_of(rng, 200, 60, 1000)
+    near = {(i, 1000 + j) for i in range(300) for j in range(200) if int(one.prints[i, 3] ^ other.prints[j, 3]).bit_count() <= 25}
+    links, more = simhash.tile_candidates(one, other, False, 25, 0.8, len(near), True)
+    assert set(links) == near and len(links) == len(near) > 1000 and not more
+    assert simhash.tile_candidates(one, other, False, 25, 0.8, len(near) - 1, False) == ([], True)
+    links, more = simhash.tile_candidates(one, other, False, 25, 0.8, 10, True)
+    assert more and set(links) <= near
+
+    def classes(pairs):
         parent = {}
 
         def root(x):
@@ -303,7 +376,15 @@ def test_crowds_of_near_copies_make_few_candidates():
         for x, y in pairs:
             if root(x) != root(y):
                 parent[root(x)] = root(y)
-        assert len({root(x) for pair in pairs for x in pair}) == 1 and len({x for pair in pairs for x in pair}) == nodes
+        groups = defaultdict(set)
+        for x in {x for pair in pairs for x in pair}:
+            groups[root(x)].add(x)
+        return sorted(map(sorted, groups.values()))
+
+    assert classes(links) == classes(near) and len(links) < 500
+    joined = tile_of(rng, 300, 10, 0, np.repeat([0, 150], 150))  # two components, all within the radius
+    links, more = simhash.tile_candidates(joined, joined, True, 25, 0.8, 10, True)
+    assert len(links) == 1 and more
 
 
 def test_simhash_links_lose_no_pair(spark, monkeypatch):
