@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuslake.functions import params
 from corpuslake.functions.text import evidence_tokens, expand_aliases, loose_name_key, name_key, strip
@@ -84,6 +90,189 @@ def coverage(required: DataFrame, matched: DataFrame, topic_weight: float = para
     )
 
 
+#: Books of a block, which are the bits of a row of its matrix; bytes of the matrices that a task holds; questions that a task takes, about.
+BLOCK_BOOKS, MATRIX_BYTES, TASK_QUESTIONS = 4096, 64 << 20, 65_536
+
+
+def owners(required: DataFrame, profiles: DataFrame, threshold: float = params.MATCH_THRESHOLD) -> DataFrame:
+    """(kind, name, own): the names of profiles that count as a required name, by equal key or by cosine of hashed tokens."""
+    want = required.select("kind", "name").distinct()
+    have = profiles.select("kind", F.col("name").alias("own")).distinct()
+    same = want.withColumn("k", loose_name_key(F.col("name"))).join(have.withColumn("k", loose_name_key(F.col("own"))), ["kind", "k"]).select("kind", "name", "own")
+    wanted, owned = (df.select(F.col(c).alias("doc_id"), F.col(c).alias("text")).distinct() for df, c in ((want, "name"), (have, "own")))
+    close = cosine_pairs(wanted, owned, threshold).select(F.col("left_id").alias("name"), F.col("right_id").alias("own"))
+    return same.unionByName(want.join(close, "name").join(have, ["kind", "own"]).select("kind", "name", "own")).distinct()
+
+
+def bit_matrix(required: DataFrame, profiles: DataFrame, books: DataFrame, threshold: float = params.MATCH_THRESHOLD) -> DataFrame:
+    """(block, kind, name, word, bits): which books of a block cover a required name, 64 to a number; words without a bit are left out.
+
+    ``books`` is (document_id, block, place), ``place`` counting from 0 in each block.
+    """
+    own = profiles.select("document_id", "kind", F.col("name").alias("own")).join(books, "document_id")
+    word = F.floor(F.col("place") / 64).cast("int").alias("word")
+    bit = F.expr("shiftleft(1L, place % 64)")
+    held = own.groupBy("block", "kind", "own", word).agg(F.bit_or(bit).alias("bits"))
+    return held.join(owners(required, profiles, threshold), ["kind", "own"]).groupBy("block", "kind", "name", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+class Matrix:
+    """The bit matrix of one block: a row of bits for each (kind, name)."""
+
+    #: Rows that are kept unpacked, a byte for each book.
+    UNPACKED = 2048
+
+    def __init__(self) -> None:
+        self.packed: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+        self.flags: dict[tuple[str, str], np.ndarray] = {}
+
+    def add(self, kind: str, name: str, words: np.ndarray, bits: np.ndarray) -> None:
+        self.packed[kind, name] = words, bits
+
+    def row(self, key: tuple[str, str]) -> np.ndarray:
+        """A flag for each book of the block."""
+        if key not in self.flags:
+            if len(self.flags) >= self.UNPACKED:
+                self.flags.clear()
+            words, bits = self.packed[key]
+            out = np.zeros(BLOCK_BOOKS // 64, np.uint64)
+            out[words] = bits
+            self.flags[key] = np.unpackbits(out.view(np.uint8), bitorder="little")
+        return self.flags[key]
+
+    def covered(self, kind: str, names: list[str]) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+        """Positions among ``names`` of those that some book covers, their rows, and how many of them each book covers."""
+        at = [i for i, name in enumerate(names) if (kind, name) in self.packed]
+        rows = [self.row((kind, names[i])) for i in at]
+        total = np.zeros(BLOCK_BOOKS, np.int64)
+        for row in rows:
+            total += row
+        return at, rows, total
+
+
+class Scores:
+    """Scores as whole ten-thousandths, rounded half up as Spark rounds them."""
+
+    def __init__(self, topic_weight: float, subtopic_weight: float) -> None:
+        self.weights, self.known = (topic_weight, subtopic_weight), {}
+
+    def __call__(self, t: int, n_topics: int, s: int, n_subs: int) -> int:
+        key = t, n_topics, s, n_subs
+        if key not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            value = self.weights[0] * (t / n_topics if n_topics else 0.0) + self.weights[1] * (s / n_subs if n_subs else 0.0)
+            self.known[key] = int(Decimal(repr(value)).scaleb(4).quantize(Decimal(1), ROUND_HALF_UP))
+        return self.known[key]
+
+
+def best_in_blocks(topics: list[str], subs: list[str], blocks: dict[int, Matrix], k: int, scores: Scores) -> tuple[list[tuple], int]:
+    """(score, matched topics, block, place, positions of matched topics, of matched subtopics) of the k best books of some blocks, and how many blocks were left out.
+
+    A block that could not better the k-th best so far, were one book to cover all that any book of it covers, is not
+    looked into; blocks that promise most come first.
+    """
+    bounds = []
+    for block, matrix in blocks.items():
+        t, s = (sum((kind, name) in matrix.packed for name in names) for kind, names in (("topic", topics), ("subtopic", subs)))
+        if t or s:
+            bounds.append((-scores(t, len(topics), s, len(subs)), -t, block))
+    best: list[tuple] = []
+    for done, (bound, most, block) in enumerate(sorted(bounds)):
+        if len(best) >= k and (bound, most) > best[-1][:2]:
+            return best, len(bounds) - done
+        at_t, rows_t, t = blocks[block].covered("topic", topics)
+        at_s, rows_s, s = blocks[block].covered("subtopic", subs)
+        width = len(subs) + 1
+        pairs = t * width + s
+        found = np.flatnonzero(np.bincount(pairs)[1:]) + 1
+        order = sorted((-scores(p // width, len(topics), p % width, len(subs)), -(p // width), p) for p in found.tolist())
+        taken: list[tuple] = []
+        for score, count, pair in order:
+            for place in np.flatnonzero(pairs == pair)[: k - len(taken)].tolist():
+                taken.append((score, count, block, place, [i for i, row in zip(at_t, rows_t, strict=True) if row[place]], [i for i, row in zip(at_s, rows_s, strict=True) if row[place]]))
+            if len(taken) >= k:
+                break
+        # of equal score and count all are kept here: titles decide between blocks
+        best = sorted(best + taken, key=lambda b: b[:2])
+        if len(best) > k:
+            worst = best[k - 1][:2]
+            best = [b for b in best if b[:2] <= worst]
+    return best, 0
+
+
+def best_books(required: DataFrame, profiles: DataFrame, titles: DataFrame, k: int, topic_weight: float = params.TOPIC_WEIGHT, subtopic_weight: float = params.SUBTOPIC_WEIGHT, threshold: float = params.MATCH_THRESHOLD) -> DataFrame:
+    """(query_id, rank, document_id, title, score, topic_coverage, subtopic_coverage, n_matched, matched, missing, matched_subtopics, missing_subtopics, and other columns of ``titles``).
+
+    The k books that cover best what each question requires (query_id, kind, name, pos), of those that match
+    anything: by score, then matched topics, then title, then document_id. The rows are those of
+    :func:`coverage` and :func:`rank_books`, but no row for a (question, book) is ever made: books are
+    the bits of a matrix in blocks of BLOCK_BOOKS, a task holds MATRIX_BYTES of blocks, reads questions one
+    by one, counts bits in blocks that can still better its k best, and hands on those alone.
+
+    ``titles`` is (document_id, title, ...), one row a book; books without a title take no part. A document_id
+    or name that is null takes no part; a question that nothing matches has no row.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    spark = required.sparkSession
+    n_books = titles.count()
+    blocks = max(1, -(-n_books // (BLOCK_BOOKS * 3 // 4)))  # dealt by hash: about three quarters full
+    dealt = titles.where(F.col("document_id").isNotNull()).withColumn("block", F.pmod(F.xxhash64("document_id"), F.lit(blocks)).cast("int"))
+    order = F.row_number().over(Window.partitionBy("block").orderBy("title", "document_id")) - 1
+    # a block that is overfull all the same goes on in blocks of higher numbers
+    books = dealt.withColumn("place", order).withColumn("block", F.col("block") + blocks * F.floor(F.col("place") / BLOCK_BOOKS).cast("int")).withColumn("place", F.col("place") % BLOCK_BOOKS)
+    books = cut(books)
+    need = cut(required.where("name is not null"))
+    rows = cut(bit_matrix(need, profiles, books.select("document_id", "block", "place"), threshold).groupBy("block", "kind", "name").agg(F.collect_list(F.struct("word", "bits")).alias("words")))
+    size = rows.agg(F.sum(F.size("words") * 12 + 100)).first()[0] or 0
+    groups = max(1, -(-size // MATRIX_BYTES))
+    lists = (F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "name")))) for kind in ("topic", "subtopic"))
+    asked = cut(need.groupBy("query_id").agg(*(F.transform(x, lambda p: p["name"]).alias(c) for x, c in zip(lists, ("topics", "subs"), strict=True))))
+    n_asked = asked.count()
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, n_asked // 1024), -(-n_asked // TASK_QUESTIONS))
+    keys = ["bin", "task"]
+    held = rows.withColumn("bin", F.pmod("block", F.lit(groups)).cast("int")).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    sent = asked.withColumn("task", F.pmod(F.xxhash64("query_id"), F.lit(tasks)).cast("int")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    columns = ["query_id", "block", "kind", "name", "words", "topics", "subs"]
+    # a task's matrices come first, then its questions
+    both = held.unionByName(sent, allowMissingColumns=True).withColumn("asks", F.col("block").isNull())
+    both = both.repartition(groups * tasks, *keys).sortWithinPartitions(*keys, "asks", "block").select(*keys, *columns)
+    id_type = required.schema["query_id"].dataType
+    schema = pa.schema([("query_id", to_arrow_type(id_type)), *((n, pa.int64()) for n in ("in_block", "at", "t", "s")), *((n, pa.list_(pa.string())) for n in ("matched", "missing", "matched_subtopics", "missing_subtopics")), *((n, pa.int64()) for n in ("n_topics", "n_subs"))])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, matrices, scores = None, {}, Scores(topic_weight, subtopic_weight)
+        for batch in batches:
+            out = []
+            bins, own_tasks, ids, block, kind, name, words, topics, subs = batch.columns
+            for i in range(batch.num_rows):
+                here = bins[i].as_py(), own_tasks[i].as_py()
+                if here != now:
+                    now, matrices = here, {}
+                if block[i].is_valid:
+                    at = words[i].values
+                    matrices.setdefault(block[i].as_py(), Matrix()).add(kind[i].as_py(), name[i].as_py(), at.field("word").to_numpy(), at.field("bits").to_numpy().view(np.uint64))
+                    continue
+                wanted = topics[i].as_py(), subs[i].as_py()
+                for _, t, found, place, got_t, got_s in best_in_blocks(*wanted, matrices, k, scores)[0]:
+                    lists = [[x for j, x in enumerate(names) if (j in got) == inside] for names, got in zip(wanted, (set(got_t), set(got_s)), strict=True) for inside in (True, False)]
+                    row = (ids[i].as_py(), found, place, -t, len(got_s), *lists, len(wanted[0]), len(wanted[1]))
+                    out.append(dict(zip(schema.names, row, strict=True)))
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    types = f"query_id {id_type.simpleString()}, in_block long, at long, t long, s long, matched array<string>, missing array<string>, matched_subtopics array<string>, missing_subtopics array<string>, n_topics long, n_subs long"
+    near = both.mapInArrow(search, types)
+    rows = near.join(books, (F.col("in_block") == F.col("block")) & (F.col("at") == F.col("place")))
+    topics, subs = (F.coalesce(F.col(n) / F.nullif(of, F.lit(0)), F.lit(0.0)) for n, of in (("t", "n_topics"), ("s", "n_subs")))
+    scored = rows.withColumn("score", F.round(topic_weight * topics + subtopic_weight * subs, 4)).withColumn("topic_coverage", F.round(topics, 4)).withColumn("subtopic_coverage", F.round(subs, 4)).withColumnRenamed("t", "n_matched")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("n_matched"), "title", "document_id"))
+    more = [c for c in titles.columns if c not in ("document_id", "title")]
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "query_id", "rank", "document_id", "title", "score", "topic_coverage", "subtopic_coverage", "n_matched", "matched", "missing", "matched_subtopics", "missing_subtopics", *more
+    )
+
+
 def rank_books(covered: DataFrame, titles: DataFrame, k: int | None = None) -> DataFrame:
     """``covered`` with title and rank: by score, then matched topics, then title."""
     rows = covered.join(titles, "document_id")
@@ -110,7 +299,7 @@ def recommend(queries: DataFrame, hits: DataFrame, graph_names: DataFrame, profi
     wanted = required_names(own.where("name is not null and name <> ''"), drawn.where("name is not null and name <> ''"))
     bare = subjects.join(wanted.where("kind = 'topic'").select("query_id").distinct(), "query_id", "left_anti")
     wanted = cut(wanted.unionByName(bare.select("query_id", F.lit("topic").alias("kind"), F.col("subject").alias("name"), F.lit(1).alias("pos"))))
-    ranked = rank_books(coverage(wanted, matches(wanted, profiles)), titles, k)
+    ranked = best_books(wanted, profiles, titles, k)
     rows = queries.select("query_id").join(found.select("query_id").distinct().withColumn("found", F.lit(True)), "query_id", "left").join(subjects, "query_id", "left").join(ranked, "query_id", "left")
     return rows.select("query_id", "subject", F.col("found").isNull().alias("no_syllabus_evidence"), "rank", "document_id", "title", "score", "n_matched", "matched", "missing")
 

@@ -278,9 +278,11 @@ COVERAGE = f"""
 
 def ranked(spark: SparkSession, sf_dir: str, orders: int = 20) -> DataFrame:
     wanted = required(spark, sf_dir, orders)
-    covered = coverage.coverage(wanted, coverage.matches(wanted, supplier_profiles(spark, sf_dir)))
-    titles = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("document_id"), F.col("s_name").alias("title"))
-    return coverage.rank_books(covered, titles, 3)
+    profiles = supplier_profiles(spark, sf_dir)
+    chapters = profiles.where("kind = 'topic'").groupBy("document_id").agg(F.count(F.lit(1)).alias("chapter_count"))
+    books = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    titles = books.select(F.col("s_suppkey").cast("string").alias("document_id"), F.col("s_name").alias("title"), F.col("n_name").alias("author"))
+    return coverage.best_books(wanted, profiles, titles.join(chapters, "document_id", "left"), 3)
 
 
 @register("coverage_rank", f"WITH {COVERAGE} SELECT query_id, rank, document_id, score, topic_coverage, subtopic_coverage, n_matched FROM ranked WHERE rank <= 3")
@@ -288,6 +290,23 @@ def coverage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark, sf_dir).select("query_id", "rank", "document_id", "score", "topic_coverage", "subtopic_coverage", "n_matched")
 
 
+@register(
+    "coverage_details",
+    f"""WITH {COVERAGE}, top AS (SELECT * FROM ranked WHERE rank <= 3),
+    firsts AS (SELECT l_orderkey AS query_id, kind, name, min(l_linenumber) AS pos FROM (SELECT l_orderkey, l_linenumber, 'topic' AS kind, p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey
+        UNION ALL SELECT l_orderkey, l_linenumber, 'subtopic', p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY ALL),
+    named AS (SELECT t.query_id, t.rank, f.kind, f.name, f.pos, m.name IS NOT NULL AS got FROM top t JOIN firsts f ON f.query_id = t.query_id LEFT JOIN m ON m.query_id = t.query_id AND m.document_id = t.document_id AND m.kind = f.kind AND m.name = f.name),
+    lists AS (SELECT query_id, rank, {", ".join(f"coalesce(string_agg(name, '|' ORDER BY pos, name) FILTER (WHERE kind = '{kind}' AND {'got' if got else 'NOT got'}), '') AS {name}" for kind, got, name in (("topic", True, "matched_topics"), ("topic", False, "missing_topics"), ("subtopic", True, "matched_subtopics"), ("subtopic", False, "missing_subtopics")))} FROM named GROUP BY query_id, rank),
+    chapters AS (SELECT document_id, count(*) AS chapter_count FROM prof WHERE kind = 'topic' GROUP BY document_id)
+    SELECT query_id, rank, t.document_id, s_name AS title, n_name AS author, chapter_count, matched_topics, missing_topics, matched_subtopics, missing_subtopics
+    FROM top t JOIN lists USING (query_id, rank) LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN chapters c ON c.document_id = t.document_id""",
+)
+def coverage_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books that coverage_rank ranks, with what each covers and lacks, its author and its number of chapters."""
+    lists = {"matched": "matched_topics", "missing": "missing_topics", "matched_subtopics": "matched_subtopics", "missing_subtopics": "missing_subtopics"}
+    return ranked(spark, sf_dir).select("query_id", "rank", "document_id", "title", "author", "chapter_count", *(F.array_join(c, "|").alias(name) for c, name in lists.items()))
+
+
 @register("coverage_violations", f"WITH {COVERAGE} SELECT count(*) AS n FROM ranked WHERE abs(score - 0.85e0 * topic_coverage - 0.15e0 * subtopic_coverage) > 1.5e-4")
 def coverage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.violations(ranked(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
