@@ -11,9 +11,8 @@ For near-duplicates by similarity there are longer fingerprints, of the set of a
 (:func:`similar_components`): there the population count that tells tiles apart is that of the set
 itself, since two sets of a Jaccard similarity of ``s`` or more differ in size by that factor at most.
 What lies within a wide radius is a candidate, and the shingle sets of candidates confirm it exactly.
-All candidates are confirmed but those whose texts are connected already: where a pair of tiles holds few,
-at once; where it is crowded, in rounds, each of which tries a few links and compares again
-only what the confirmed ones have not connected.
+Where a pair of tiles holds few candidates they are listed; where it is crowded, the sets themselves go
+along with the tiles, and a task gives only links that it has confirmed and that connect what was not connected.
 
 For op5's fingerprints a pair of tiles yields no list of pairs but the spanning links of what it connects, at most one
 per fingerprint. Links are then joined into components by rounds of large-star and small-star
@@ -41,8 +40,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, FIRST_RADIUS = 5, 0.8, 66, 24
 #: Sets of up to so many shingles, whose fingerprints are coarse, are also looked for by what is left of each when one shingle is taken out.
 SMALL_SET = 8
-#: Candidates that a pair of tiles gives at once, for each of its texts, and the factor by which that grows with each round.
-FEW, GROWTH = 4, 8
+#: Candidates that a pair of tiles lists, for each of its texts, at most; shingles of the sets that go along with a crowded tile, or a piece of it, about.
+FEW, PIECE_SHINGLES = 1, 1 << 19
 #: Tiles of long fingerprints are cut by size so that SIZE_STEPS bands make up a factor of SIMILARITY.
 SIZE_STEPS = 4
 #: Fingerprints of a tile; a pair of tiles takes about TILE * STRIP * 9 bytes to compare.
@@ -141,11 +140,12 @@ def tile_links(ids: np.ndarray, a: np.ndarray, other_ids: np.ndarray, b: np.ndar
 
 
 class Tile:
-    """One tile of long fingerprints: nodes, the components that they are in so far, sizes of their sets, fingerprints (4 columns)."""
+    """One tile of long fingerprints: nodes, the components that they are in so far, sizes of their sets, fingerprints (4 columns), and the sets as sorted hashes where they are needed."""
 
-    def __init__(self, nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> None:
+    def __init__(self, nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray] | None = None) -> None:
         order = np.argsort(nodes)  # so that nothing hangs on the order of a shuffle
         self.nodes, self.labels, self.sizes, self.prints = nodes[order], labels[order], sizes[order], prints[order]
+        self.sets = None if sets is None else [sets[i] for i in order.tolist()]
 
 
 def open_pairs(one: Tile, other: Tile, same: bool, radius: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -163,40 +163,43 @@ def open_pairs(one: Tile, other: Tile, same: bool, radius: int, similarity: floa
         yield at, d
 
 
-def tile_candidates(one: Tile, other: Tile, same: bool, radius: int, similarity: float, most: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of nodes to confirm, of those within the radius between two tiles, and whether there are others.
-
-    All of them where they are ``most`` or fewer; else, if ``forest``, for each node its nearest of
-    each component that it is not connected to yet, so that the pairs connect whatever all pairs connect.
-    """
+def tile_candidates(one: Tile, other: Tile, same: bool, radius: int, similarity: float, most: int) -> list[tuple[int, int]] | None:
+    """Pairs of nodes to confirm, of those within the radius between two tiles; None if they are more than ``most``."""
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
     for at, d in open_pairs(one, other, same, radius, similarity):
         i, j = np.nonzero(d <= radius)
         count += len(i)
         if count > most:
-            break
+            return None
         kept.append((one.nodes[i + at], other.nodes[j]))
-    if count <= most:
-        return [pair for i, j in kept for pair in zip(i.tolist(), j.tolist(), strict=True)], False
-    if not forest:
-        return [], True
-    links = []
+    return [pair for i, j in kept for pair in zip(i.tolist(), j.tolist(), strict=True)]
+
+
+def tile_confirmed(one: Tile, other: Tile, same: bool, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between two tiles that hold their sets: pairs within the radius whose sets have the similarity, as many as connect what such pairs connect."""
     names, labels = np.unique(np.r_[one.labels, other.labels], return_inverse=True)
-    root = np.arange(len(names))
+    root, links = np.arange(len(names)), []
     mine, theirs = labels[: len(one.labels)], labels[len(one.labels) :]
+    held, ends = np.concatenate(other.sets), np.r_[0, np.cumsum([len(x) for x in other.sets])]
+    known, codes = np.unique(held, return_inverse=True)
+    sizes = np.diff(ends)
     for at, d in open_pairs(one, other, same, radius, similarity):
         for i in np.flatnonzero((d <= radius).any(axis=1)).tolist():
-            others = np.flatnonzero(d[i] <= radius)
-            own, found = root[mine[at + i]], root[theirs[others]]
-            if (found == own).all():
+            own = root[mine[at + i]]
+            others = np.flatnonzero((d[i] <= radius) & (root[theirs] != own))
+            if not len(others):
                 continue
-            order = np.argsort(d[i, others], kind="stable")
-            for label, k in zip(*np.unique(found[order], return_index=True), strict=True):  # the first of each is the nearest
-                if label != own:
-                    root[root == label] = own
-                    links.append((int(one.nodes[at + i]), int(other.nodes[others[order[k]]])))
-    return links, True
+            mark, hashes = np.zeros(len(known), bool), one.sets[at + i]
+            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            mark[place[known[place] == hashes]] = True
+            upto = np.r_[0, mark[codes].cumsum()]
+            shared = upto[ends[others + 1]] - upto[ends[others]]
+            near = others[shared >= similarity * (len(hashes) + sizes[others] - shared)]
+            for label, k in zip(*np.unique(root[theirs[near]], return_index=True), strict=True):
+                root[root == label] = own
+                links.append((int(one.nodes[at + i]), int(other.nodes[near[k]])))
+    return links
 
 
 def distances(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray | None:
@@ -283,35 +286,78 @@ def similar_tiles(distinct: DataFrame, similarity: float, tile: int) -> tuple[Da
     return cut(nodes), pairs.select(*PAIR)
 
 
-def compared(nodes: DataFrame, pairs: DataFrame, radius: int, similarity: float, few: int, alone: bool) -> DataFrame:
-    """A stored table of candidates (src, dst) from the pairs of tiles (PAIR), and a row with PAIR for each pair of tiles that has others.
+NODE = ["node", "label", "size", *(f"f{i}" for i in range(4))]
+
 
-    ``nodes`` is (node, label, size, f0 to f3, cell, part). With ``alone``, a crowded pair gives candidates only if it is a tile with itself.
+def tile_of(members: pa.Scalar) -> Tile:
+    """A tile from the list of its members, NODE and, where there are any, ``hashes``."""
+    at = [members.values.field(c).to_numpy() for c in NODE]
+    fields = [members.values.type.field(i).name for i in range(members.values.type.num_fields)]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.values.field("hashes")] if "hashes" in fields else None
+    return Tile(at[0], at[1], at[2], np.stack(at[3:], 1).view(np.uint64), sets)
+
+
+def compared(nodes: DataFrame, pairs: DataFrame, radius: int, similarity: float, few: int = FEW) -> DataFrame:
+    """A stored table of candidates (src, dst) from the pairs of tiles (PAIR), and a row with PAIR for each pair of tiles that has too many.
+
+    ``nodes`` is (NODE, cell, part).
     """
-    columns = ["node", "label", "size", *(f"f{i}" for i in range(4))]
     wanted = pairs.select("cell", "part").union(pairs.select("other", "other_part")).distinct()
-    members = nodes.join(wanted, ["cell", "part"], "left_semi").groupBy("cell", "part").agg(F.collect_list(F.struct(*columns)).alias("members"))
+    members = nodes.join(wanted, ["cell", "part"], "left_semi").groupBy("cell", "part").agg(F.collect_list(F.struct(*NODE)).alias("members"))
     tiles = cut(members)
     met = tiles.select(F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("members").alias("others"))
     work = pairs.join(tiles, ["cell", "part"]).join(met, ["other", "other_part"]).select(*PAIR, "members", "others")
 
-    def tile_of(members: pa.Scalar) -> Tile:
-        at = [members.values.field(c).to_numpy() for c in columns]
-        return Tile(at[0], at[1], at[2], np.stack(at[3:], 1).view(np.uint64))
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 at = [batch.column(c)[row].as_py() for c in PAIR]
-                one, other, same = tile_of(batch.column("members")[row]), tile_of(batch.column("others")[row]), at[:2] == at[2:]
-                links, more = tile_candidates(one, other, same, radius, similarity, few * (len(one.nodes) + len(other.nodes)), same or not alone)
-                src, dst = ([link[i] for link in links] + [None] * more for i in range(2))
-                left = [[None] * len(links) + [x] * more for x in at]
+                one, other = tile_of(batch.column("members")[row]), tile_of(batch.column("others")[row])
+                links = tile_candidates(one, other, at[:2] == at[2:], radius, similarity, few * (len(one.nodes) + len(other.nodes)))
+                src, dst = ([None] if links is None else [link[i] for link in links] for i in range(2))
+                left = [[x] if links is None else [None] * len(links) for x in at]
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), *(pa.array(x, pa.int32()) for x in left)], ["src", "dst", *PAIR])
 
     return stored(work.mapInArrow(compare, "src long, dst long, cell int, part int, other int, other_part int"), "candidates")
 
 
+def shingle_hashes(texts: DataFrame, width: int) -> DataFrame:
+    """(row, hashes): the sorted 64-bit hashes of each text's shingles, as bytes."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingle_set(t.as_py() or "", width)), np.uint64)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["row", "hashes"])
+
+    return texts.select("row", "text").mapInArrow(hashed, "row long, hashes binary")
+
+
+def crowded_links(nodes: DataFrame, pairs: DataFrame, texts: DataFrame, width: int, radius: int, similarity: float, piece: int) -> DataFrame:
+    """(src, dst): confirmed links from crowded pairs of tiles (PAIR), which are compared in pieces that hold about ``piece`` shingles each."""
+    wanted = pairs.select("cell", "part").union(pairs.select("other", "other_part")).distinct()
+    mine = cut(nodes.join(wanted, ["cell", "part"], "left_semi"))
+    sizes = cut(mine.groupBy("cell", "part").agg(F.ceil(F.sum("size") / piece).cast("int").alias("pieces")))
+    ids = mine.select(F.col("node").alias("wanted"))
+    sets = shingle_hashes(texts.join(ids, F.col("row") == F.col("wanted"), "left_semi"), width)
+    held = mine.join(sets, F.col("node") == F.col("row")).join(sizes, ["cell", "part"]).withColumn("piece", F.pmod(F.xxhash64("node", F.lit(1)), F.greatest("pieces", F.lit(1))).cast("int"))
+    tiles = stored(held.groupBy("cell", "part", "piece").agg(F.collect_list(F.struct(*NODE, "hashes")).alias("members")), "crowds")
+    met = tiles.select(F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("piece").alias("other_piece"), F.col("members").alias("others"))
+    same = (F.col("cell") == F.col("other")) & (F.col("part") == F.col("other_part"))
+    theirs = sizes.select(F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("pieces").alias("other_pieces"))
+    cuts = pairs.join(sizes, ["cell", "part"]).join(theirs, ["other", "other_part"])
+    cuts = cuts.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest("pieces", F.lit(1)) - 1))).withColumn("other_piece", F.explode(F.sequence(F.lit(0), F.greatest("other_pieces", F.lit(1)) - 1)))
+    cuts = cuts.where(~same | (F.col("piece") <= F.col("other_piece"))).select(*PAIR, "piece", "other_piece")
+    work = cuts.repartition(*PAIR, "piece", "other_piece").join(tiles, ["cell", "part", "piece"]).join(met, ["other", "other_part", "other_piece"]).select((same & (F.col("piece") == F.col("other_piece"))).alias("same"), "members", "others")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                links = tile_confirmed(tile_of(batch.column("members")[row]), tile_of(batch.column("others")[row]), batch.column("same")[row].as_py(), radius, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([link[i] for link in links], pa.int64()) for i in range(2)], ["src", "dst"])
+
+    return work.mapInArrow(confirm, "src long, dst long")
+
+
 def small_links(distinct: DataFrame) -> DataFrame:
     """(src, dst): small sets one of which is the other without one shingle, by keys (see :func:`long_fingerprint`)."""
     whole = distinct.where((F.col("size") > 0) & (F.col("size") < SMALL_SET)).select(F.col("keys")[0].alias("key"), F.col("node").alias("src"))
@@ -319,28 +365,40 @@ def small_links(distinct: DataFrame) -> DataFrame:
     return less.join(whole, "key").where("src <> dst").select("src", "dst")
 
 
-def similar_components(distinct: DataFrame, texts: DataFrame, width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, tile: int = LONG_TILE, few: int = FEW) -> DataFrame:
+def similar_components(distinct: DataFrame, texts: DataFrame, width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, tile: int = LONG_TILE, few: int = FEW, piece: int = PIECE_SHINGLES) -> DataFrame:
     """(node, component) of nodes (node, f0 to f3, size, keys; different fingerprints) that links connect to another; see :func:`components`.
 
-    A link is a pair within the radius whose texts (row, text) have shingle sets of that similarity or more.
-    The rounds end when no pair within the radius joins two components and has not been confirmed
-    or refused; what a pair of tiles gives at once grows, up to all of its pairs.
+    A link is a pair within the radius whose texts (row, text) have shingle sets of that similarity or
+    more. Every pair within the radius is confirmed or refused, unless its texts are connected by then:
+    those of uncrowded pairs of tiles first; then crowded tiles, each with itself and the next of its size;
+    then, of the other crowded pairs, what these have not connected.
     """
     nodes, pairs = similar_tiles(distinct, similarity, tile)
-    labelled, linked, first = nodes.withColumn("label", F.col("node")), None, True
-    while True:
-        found = compared(labelled, pairs, radius, similarity, few, alone=first)
-        links = found.where("src is not null").select("src", "dst")
-        links = confirmed(links.unionByName(small_links(distinct)) if first else links, texts, width, similarity)
-        if linked is not None:
-            links = links.unionByName(linked.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-        linked = components(links)
-        pairs = found.where("src is null").select(*PAIR)
-        if pairs.isEmpty():
-            return linked
+
+    def labelled(linked: DataFrame) -> DataFrame:
         own = linked.select(F.col("node").alias("linked"), "component")
-        labelled = nodes.join(own, F.col("node") == F.col("linked"), "left").withColumn("label", F.coalesce("component", "node")).drop("linked", "component")
-        few, first = few if first else few * GROWTH, False
+        return nodes.join(own, F.col("node") == F.col("linked"), "left").withColumn("label", F.coalesce("component", "node")).drop("linked", "component")
+
+    def joined(linked: DataFrame, links: DataFrame) -> DataFrame:
+        return components(links.unionByName(linked.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+
+    found = compared(nodes.withColumn("label", F.col("node")), pairs, radius, similarity, few)
+    listed = found.where("src is not null").select("src", "dst").unionByName(small_links(distinct))
+    linked = components(confirmed(listed, texts, width, similarity))
+    crowded = found.where("src is null").select(*PAIR)
+    beside = (F.col("cell") == F.col("other")) & (F.col("other_part") - F.col("part") <= 1)
+    for first in (True, False):
+        left = crowded.where(beside == first)
+        if left.isEmpty():
+            continue
+        if not first:
+            again = compared(labelled(linked), left, radius, similarity, few)
+            linked = joined(linked, confirmed(again.where("src is not null").select("src", "dst"), texts, width, similarity))
+            left = again.where("src is null").select(*PAIR)
+            if left.isEmpty():
+                continue
+        linked = joined(linked, crowded_links(labelled(linked), left, texts, width, radius, similarity, piece))
+    return linked
 
 
 def confirmed(links: DataFrame, texts: DataFrame, width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -350,11 +408,6 @@ def confirmed(links: DataFrame, texts: DataFrame, width: int = SIMILAR_SHINGLE,
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     linked = texts.join(F.broadcast(ids) if few else ids, F.col("row") == F.col("node"), "left_semi")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingle_set(t.as_py() or "", width)), np.uint64)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["row", "hashes"])
-
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -364,7 +417,7 @@ def confirmed(links: DataFrame, texts: DataFrame, width: int = SIMILAR_SHINGLE,
                 kept.append(shared >= similarity * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["src", "dst"]).filter(pa.array(kept, pa.bool_()))
 
-    sets = linked.select("row", "text").mapInArrow(hashed, "row long, hashes binary")
+    sets = shingle_hashes(linked, width)
     one = links.join(sets.select(F.col("row").alias("src"), F.col("hashes").alias("a")), "src")
     both = one.join(sets.select(F.col("row").alias("dst"), F.col("hashes").alias("b")), "dst")
     return both.select("src", "dst", "a", "b").mapInArrow(similar, "src long, dst long")

@@ -339,31 +339,39 @@ def test_short_texts_that_differ_by_one_shingle(spark):
     assert kept == least_of_groups([shingle_set(r[1]) for r in rows]) and len(kept) == 1050
 
 
-def test_crowded_tiles_are_compared_in_rounds(spark):
+def test_crowded_tiles_are_compared_with_their_sets(spark):
     rng = random.Random(9)
-    texts = edited_copies(rng, 3, 150, 80, (3, 7)) + edited_copies(rng, 100, 1, 80, (0, 0))
+    texts = edited_copies(rng, 3, 150, 80, (0, 3)) + edited_copies(rng, 100, 1, 80, (0, 0))
     rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string")
-    prints = simhash.long_fingerprints(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "node")
-    found = {r["node"]: r["component"] for r in simhash.similar_components(prints, rows, tile=40, few=1).collect()}
-    assert {found.get(i, i) for i in range(len(texts))} == least_of_groups([shingle_set(" ".join(t)) for t in texts])
+    prints = simhash.long_fingerprints(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "node").dropDuplicates(["f0", "f1", "f2", "f3"])
+    found = {r["node"]: r["component"] for r in simhash.similar_components(prints, rows, tile=40, few=0, piece=900).collect()}
+    kept = sorted(r["node"] for r in prints.collect())
+    groups = least_of_groups([shingle_set(" ".join(texts[i])) for i in kept])
+    assert {found.get(i, i) for i in kept} == {kept[i] for i in groups} and len(groups) > 103
 
 
-def tile_of(rng, n, bits, first=0, labels=None):
-    prints = np.full((n, 4), 7, np.uint64)
-    prints[:, 3] ^= rng.integers(0, 1 << bits, n).astype(np.uint64)
-    nodes = np.arange(first, first + n)
-    return simhash.Tile(nodes, nodes if labels is None else labels, np.full(n, 50), prints)
+def test_tiles_list_pairs_or_confirm_links():
+    rng = np.random.default_rng(3)
 
+    def tile(first, n, labels=None):
+        base = rng.integers(0, 1 << 60, 60).astype(np.uint64) if first == 0 else tile.base
+        tile.base = base
+        sets = [np.unique(np.r_[base[: rng.integers(40, 61)], rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)]) for _ in range(n)]
+        prints = np.full((n, 4), 7, np.uint64)
+        prints[:, 3] ^= rng.integers(0, 1 << 60, n).astype(np.uint64)
+        nodes = np.arange(first, first + n)
+        return simhash.Tile(nodes, nodes if labels is None else labels, np.array([len(x) for x in sets]), prints, sets)
 
-def test_tiles_give_all_pairs_or_what_connects_components():
-    rng = np.random.default_rng(3)
-    one, other = tile_of(rng, 300, 60), tile_of(rng, 200, 60, 1000)
-    near = {(i, 1000 + j) for i in range(300) for j in range(200) if int(one.prints[i, 3] ^ other.prints[j, 3]).bit_count() <= 25}
-    links, more = simhash.tile_candidates(one, other, False, 25, 0.8, len(near), True)
-    assert set(links) == near and len(links) == len(near) > 1000 and not more
-    assert simhash.tile_candidates(one, other, False, 25, 0.8, len(near) - 1, False) == ([], True)
-    links, more = simhash.tile_candidates(one, other, False, 25, 0.8, 10, True)
-    assert more and set(links) <= near
+    one, other = tile(0, 150), tile(1000, 120)
+
+    def near(a, b, radius=30):
+        close = int(a[0][3] ^ b[0][3]).bit_count() <= radius
+        shared = len(np.intersect1d(a[1], b[1]))
+        return close and min(len(a[1]), len(b[1])) >= 0.8 * max(len(a[1]), len(b[1])), close and shared >= 0.8 * (len(a[1]) + len(b[1]) - shared)
+
+    def all_pairs(x, y, same):
+        found = [(int(x.nodes[i]), int(y.nodes[j]), *near((x.prints[i], x.sets[i]), (y.prints[j], y.sets[j]))) for i in range(len(x.nodes)) for j in range(len(y.nodes)) if not same or i < j]
+        return {p[:2] for p in found if p[2]}, {p[:2] for p in found if p[3]}
 
     def classes(pairs):
         parent = {}
@@ -381,10 +389,14 @@ def test_tiles_give_all_pairs_or_what_connects_components():
             groups[root(x)].add(x)
         return sorted(map(sorted, groups.values()))
 
-    assert classes(links) == classes(near) and len(links) < 500
-    joined = tile_of(rng, 300, 10, 0, np.repeat([0, 150], 150))  # two components, all within the radius
-    links, more = simhash.tile_candidates(joined, joined, True, 25, 0.8, 10, True)
-    assert len(links) == 1 and more
+    for x, y, same in ((one, other, False), (one, one, True)):
+        candidates, confirmed = all_pairs(x, y, same)
+        assert set(simhash.tile_candidates(x, y, same, 30, 0.8, len(candidates))) == candidates and len(candidates) > 500
+        assert simhash.tile_candidates(x, y, same, 30, 0.8, len(candidates) - 1) is None
+        links = simhash.tile_confirmed(x, y, same, 30, 0.8)
+        assert set(links) <= confirmed and classes(links) == classes(confirmed) and len(links) < len(x.nodes) + len(y.nodes) < len(confirmed)
+    joined = simhash.Tile(one.nodes, np.zeros(150, np.int64), one.sizes, one.prints, one.sets)
+    assert simhash.tile_candidates(joined, joined, True, 30, 0.8, 0) == [] == simhash.tile_confirmed(joined, joined, True, 30, 0.8)
 
 
 def test_simhash_links_lose_no_pair(spark, monkeypatch):
