@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions import params
 from corpuslake.functions.text import tokens
+from corpuslake.operators import shards
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,20 +43,9 @@ def bm25_topk(
 ) -> DataFrame:
     """(query_id, rank, doc_id, score): documents of positive score, by score rounded to 6 places, then doc_id.
 
-    Only terms of some question leave the scan of ``docs``: the distinct question terms meet each
-    document's own term counts, and a document's row for a question is summed before ranking.
+    The texts are read once, into an index of shards (see :mod:`corpuslake.operators.shards`), which
+    answers all questions; an index that is kept is asked with :func:`shards.search`.
     """
     if k <= 0 or k1 < 0 or not 0 <= b <= 1 or not math.isfinite(k1):
         raise ValueError("k must be positive, k1 not negative, b within 0 and 1")
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    held = postings(docs, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, text_col)  # one row
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * (F.col("length") / F.col("avg_length")))
-    parts = weighted.select("query_id", "term", idf.alias("idf"), "avg_length").join(held, "term")
-    scored = parts.select("query_id", "doc_id", (F.col("idf") * (F.col("tf") * (k1 + 1)) / norm).alias("part"))
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return total.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return shards.search(shards.build_index(docs, None, id_col, text_col), queries, k, k1, b, query_id, query_text)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.functions import params, text
-from corpuslake.operators import bm25, context, dense, fuse, history, metrics
+from corpuslake.operators import bm25, contain, context, dense, fuse, history, metrics
 from corpuslake.sources import html
 
 from .registry import Query, table
@@ -105,9 +105,9 @@ VECTOR_SQL = """
 """
 
 
-def vector_hits(spark: SparkSession, sf_dir: str, floor: float | None = None, every: int = 20) -> DataFrame:
+def vector_hits(spark: SparkSession, sf_dir: str, floor: float | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("collection"), "embedding")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return dense.dense_topk(asked, rows, 5, floor, groups=("collection",))
 
 
@@ -126,17 +126,6 @@ def dense_topk_all_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.merged_topk(vector_hits(spark, sf_dir, 0.1), 5)
 
 
-# the same under the names that they had when the two above asked with fewer ids
-@register("dense_topk_by_collection_20")
-def dense_topk_by_collection_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_hits(spark, sf_dir, every=20)
-
-
-@register("dense_topk_all_collections_20")
-def dense_topk_all_collections_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.merged_topk(vector_hits(spark, sf_dir, 0.1, 20), 5)
-
-
 @register("vector_cosine", "SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
@@ -170,20 +159,8 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id): documents that hold a question's text. Candidates share the rarest word inside the question."""
-    docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    rarity = bm25.term_stats(docs)
-    # a word at either end of a question may be part of a longer one in a document
-    inside = F.regexp_extract_all(F.lower("text"), F.lit("(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), 0)
-    terms = asked.select("query_id", F.explode(F.array_distinct(F.array_intersect(inside, text.tokens(F.col("text"))))).alias("term"))
-    rarest = terms.join(rarity, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    held = bm25.postings(docs).join(rarest, "term").select("query_id", "doc_id")
-    passages = held.join(asked, "query_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
-    met = passages.where(F.col("body").contains(F.col("text"))).select("query_id", "doc_id")
-    # questions without such a word, if there are any, are looked for in every text
-    rest = asked.where("text is not null").join(rarest, "query_id", "left_anti")
-    direct = docs.select("doc_id", F.col("text").alias("body")).join(rest, F.col("body").contains(F.col("text"))).select("query_id", "doc_id")
-    return met.unionByName(direct)
+    """(query_id, doc_id): documents that hold a question's text."""
+    return contain.containing(table(spark, sf_dir, "documents"), questions(spark, sf_dir))
 
 
 QRELS = "qrels AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

@@ -82,7 +82,7 @@ def test_dense_topk_in_blocks_of_the_stated_questions(spark, monkeypatch):
             want.update({(ids[q], label, n): (i, -s) for n, (s, i) in enumerate(top, 1)})
             all_hits += [x for x in top if -x[0] >= 0.1]
         merged.update({(ids[q], n): (i, -s) for n, (s, i) in enumerate(sorted(all_hits)[:5], 1)})
-    out = registry.queries()["dense_topk_by_collection_20"](spark, SF).collect()
+    out = registry.queries()["dense_topk_by_collection"](spark, SF).collect()
     assert {(r["query_id"], r["collection"], r["rank"]): (r["id"], r["score"]) for r in out} == want
-    out = registry.queries()["dense_topk_all_collections_20"](spark, SF).collect()
+    out = registry.queries()["dense_topk_all_collections"](spark, SF).collect()
     assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in out} == merged
