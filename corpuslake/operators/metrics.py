@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import ngrams
+from corpuslake.sources.scratch import cut
 
 
 def retrieval_metrics(hits: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
@@ -136,29 +141,78 @@ def quoted_answer(body: Column, max_chars: int = 400) -> Column:
     return F.concat(F.substring(body, 1, max_chars), F.lit(" [Source 1]"))
 
 
-def latency_summary(samples: DataFrame, by: str = "stage", value: str = "ms", buckets: int = 4096) -> DataFrame:
-    """(by, n, mean, median, p95, min, max); p95 is the element at the whole part of 0.95 n, counted from 0.
+#: Bits of a digit of the selection, and rows of a digit that are sorted outright instead of being split by the next.
+DIGIT_BITS, SORTED_ROWS = 16, 100_000
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles, NaN last; the inverse of itself on the bits."""
+    bits = values.view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
+def select_places(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(by, place, key): of rows (by, key long), the key at each wanted place (by, place) of the order, counted from 0.
 
-    Places in the order are found by counting in buckets of equal width between least and most;
-    only the buckets that hold a wanted place are sorted, each in a task of its own.
+    A pass counts rows by the next 16 bits of their keys and follows the digit that holds the place, until so few rows
+    are left that they are sorted, or none of the 64 bits is. Every pass counts before it shuffles;
+    neither many equal values nor values far apart bring rows together.
     """
-    rows = samples.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v"))
-    stats = rows.groupBy(F.col("_by").alias("_s")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_v"), 4).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
-    joined = rows.join(F.broadcast(stats), F.col("_by").eqNullSafe(F.col("_s"))).select("_by", "_v", "n", "min", "max")  # a row per stage
-    width = F.col("max") - F.col("min")
-    placed = joined.withColumn("_b", F.when(width > 0, F.floor((F.col("_v") - F.col("min")) / width * (buckets - 1))).otherwise(F.lit(0)))
-    counts = placed.groupBy("_by", "_b").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("n"))
-    upto = F.sum("_c").over(Window.partitionBy("_by").orderBy("_b"))  # ``buckets`` rows a stage
-    starts = counts.withColumn("_start", upto - F.col("_c")).withColumn("_place", F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"), F.expr("n * 95 div 100")))))
-    wanted = starts.where((F.col("_place") >= F.col("_start")) & (F.col("_place") < F.col("_start") + F.col("_c")))
-    wanted = wanted.groupBy(F.col("_by").alias("_w"), F.col("_b").alias("_wb"), "_start").agg(F.collect_set("_place").alias("_places"))
-    near = placed.join(F.broadcast(wanted), F.col("_by").eqNullSafe(F.col("_w")) & (F.col("_b") == F.col("_wb")))  # three rows a stage at most
-    at = F.col("_start") + F.row_number().over(Window.partitionBy("_by", "_b").orderBy("_v")) - 1
-    found = near.withColumn("_at", at).where(F.array_contains("_places", F.col("_at")))
+    at = wanted.select("by", "place", F.col("place").alias("rest"), F.lit(None).cast("long").alias("prefix"))
+    for depth in range(64 // DIGIT_BITS):
+        shift = 64 - DIGIT_BITS * (depth + 1)
+        asked = at.select("by", "prefix").distinct()
+        inside = F.col("rows.by").eqNullSafe(F.col("asked.by"))
+        if depth:
+            inside = inside & (F.shiftright("rows.key", shift + DIGIT_BITS) == F.col("asked.prefix"))
+        met = rows.alias("rows").join(asked.alias("asked"), inside, "left_semi")
+        counts = met.groupBy("by", F.shiftright("key", shift).alias("next")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.partitionBy("by", "upper").orderBy("next")) - F.col("n")  # 2^16 rows of a digit at most
+        upper = F.shiftright("next", DIGIT_BITS) if depth else F.lit(0).cast("long")
+        bins = counts.withColumn("upper", upper).withColumn("before", before).withColumnRenamed("by", "of")
+        same = F.col("by").eqNullSafe(F.col("of")) & (F.col("rest") >= F.col("before")) & (F.col("rest") < F.col("before") + F.col("n"))
+        if depth:
+            same = same & (F.col("prefix") == F.col("upper"))
+        found = cut(at.join(bins, same).select("by", "place", (F.col("rest") - F.col("before")).alias("rest"), F.col("next").alias("prefix"), "n"))
+        at = found.drop("n")
+        if (found.agg(F.max("n")).first()[0] or 0) <= SORTED_ROWS:
+            break
+    asked = at.groupBy(F.col("by").alias("of"), "prefix").agg(F.collect_list(F.struct("place", "rest")).alias("places"))
+    left = rows.join(asked, F.col("by").eqNullSafe(F.col("of")) & (F.shiftright("key", shift) == F.col("prefix")))
+    if shift == 0:  # all left of a digit are equal
+        left = left.groupBy("by", "key", "places").agg(F.count(F.lit(1)).alias("n"))
+        return left.select("by", F.explode("places").alias("p"), "key").select("by", "p.place", "key")
+    nth = left.withColumn("nth", F.row_number().over(Window.partitionBy("by", "prefix").orderBy("key")) - 1)  # SORTED_ROWS at most
+    found = nth.select("by", "key", F.explode(F.filter("places", lambda p: p["rest"] == F.col("nth"))).alias("p"))
+    return found.select("by", "p.place", "key")
+
+
+def latency_summary(samples: DataFrame, by: str = "stage", value: str = "ms") -> DataFrame:
+    """(by, n, mean, median, p95, min, max); p95 is the element at the whole part of 0.95 n, counted from 0. Null values are left out.
+
+    Places of the order are found by :func:`select_places`, whatever the values and however many a stage has.
+    """
+    kind = samples.schema[by].dataType.simpleString()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ordered_bits(batch.column(1).to_numpy(zero_copy_only=False)))], ["by", "key"])
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).to_numpy(zero_copy_only=False).copy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ordered_bits(keys.view(np.float64)).view(np.float64))], ["by", "place", "v"])
+
+    rows = samples.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(value).cast("double").alias("v"))
+    stats = cut(rows.groupBy("by").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")))
+    keys = cut(rows.mapInArrow(keyed, f"by {kind}, key long"))
+    places = F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"), F.expr("n * 95 div 100")))
+    found = select_places(keys, stats.select("by", F.explode(places).alias("place"))).mapInArrow(valued, f"by {kind}, place long, v double")
+    told = found.join(stats.select(F.col("by").alias("of"), "n"), F.col("by").eqNullSafe(F.col("of")))
 
     def value_at(place: str) -> Column:
-        return F.max(F.when(F.col("_at") == F.expr(place), F.col("_v")))
+        return F.max(F.when(F.col("place") == F.expr(place), F.col("v")))
 
     median = F.round((value_at("(n - 1) div 2") + value_at("n div 2")) / 2, 4)
-    marks = found.groupBy(F.col("_by").alias("_m")).agg(median.alias("median"), value_at("n * 95 div 100").alias("p95"))
-    return stats.join(marks, F.col("_s").eqNullSafe(F.col("_m"))).select(F.col("_s").alias(by), "n", "mean", "median", "p95", "min", "max")
+    marks = told.groupBy("of").agg(median.alias("median"), value_at("n * 95 div 100").alias("p95"))
+    return stats.join(marks, F.col("by").eqNullSafe(F.col("of"))).select(F.col("by").alias(by), "n", "mean", "median", "p95", "min", "max")

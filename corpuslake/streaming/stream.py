@@ -1,4 +1,4 @@
-"""Throttling, incremental indexing and request metrics, as batch tables and as streams."""
+"""Throttling and request metrics, as batch tables and as streams; incremental indexing is in :mod:`corpuslake.streaming.versions`."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.operators import bm25
+from corpuslake.streaming.versions import index_batch, index_stream, read_index, versions  # noqa: F401
 
 DECISIONS = "key string, ts timestamp, event_id long, allowed boolean, retry_after double"
 
@@ -77,53 +77,3 @@ def request_metrics(events: DataFrame, by: str, value: str, width: str = "1 hour
     rows = events.withWatermark("ts", lateness) if events.isStreaming else events
     grouped = rows.groupBy(F.window("ts", width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("avg_value"))
     return grouped.select(F.col("w.start").alias("window_start"), by, "n", "avg_value")
-
-
-def index_batch(new_chunks: DataFrame, path: str, version: int | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
-    """Adds chunks (chunk_id, collection, text, ...), their postings, and nodes and edges where given, to the index at ``path``.
-
-    A batch is written as a version of its own, and nothing that was there is read or written
-    again; readers take the latest version of each chunk_id. The version's number is recorded last, so
-    a batch that fails midway is not seen, and one that is recorded already is left as it is.
-    """
-    spark = new_chunks.sparkSession
-    known = versions(spark, path)
-    if version is None:
-        version = (known.agg(F.max("version")).first()[0] or 0) + 1
-    elif not known.where(F.col("version") == version).isEmpty():
-        return
-    fresh = new_chunks.dropDuplicates(["chunk_id"])
-    fresh.write.mode("overwrite").partitionBy("collection").parquet(f"{path}/chunks/version={version}")
-    for name, rows in (("postings", bm25.postings(fresh, "chunk_id")), ("nodes", nodes), ("edges", edges)):
-        if rows is not None:
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{path}/versions")
-
-
-def versions(spark: SparkSession, path: str) -> DataFrame:
-    """(version int): the versions that are whole; none where there is no index yet."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema("version int").parquet(f"{path}/versions").distinct()
-    except AnalysisException:
-        return spark.createDataFrame([], "version int")
-
-
-def read_index(spark: SparkSession, path: str, name: str = "chunks") -> DataFrame:
-    """The latest version of each chunk of the index, or its postings (``postings``); ``nodes`` and ``edges`` are those of all versions, to be merged by the graph."""
-
-    def rows(table: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{table}").join(F.broadcast(versions(spark, path)), "version", "left_semi")
-
-    if name in ("nodes", "edges"):
-        return rows(name).drop("version")
-    latest = rows("chunks").groupBy(F.col("chunk_id").alias("latest_id")).agg(F.max("version").alias("latest"))
-    found = rows(name)
-    key = "chunk_id" if name == "chunks" else "doc_id"
-    return found.join(latest, (F.col(key) == F.col("latest_id")) & (F.col("version") == F.col("latest"))).drop("version", "latest_id", "latest")
-
-
-def index_stream(chunks: DataFrame, path: str, checkpoint: str):
-    """A streaming query that indexes each batch of new chunks as the version of the batch's number; start, await and stop it as any other."""
-    return chunks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: index_batch(batch, path, number)).trigger(availableNow=True).start()
