@@ -187,10 +187,10 @@ def listed(spans: Column) -> Column:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, SHA-256 of the base spans and the list of all spans."""
+    """doc_id, counts of the base kinds, SHA-256 of the base spans, the list of all spans and that of their scores."""
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import copy_numbers, cut, global_rank
 
+#: Rows of the table of sources that are broadcast, at most.
+BROADCAST_SOURCES = 50_000
 #: Hash buckets that a source's rows, and the whole order, are sorted in; more where rows are many.
 MIN_BUCKETS, MAX_BUCKETS, ROWS_PER_BUCKET = 1024, 65536, 50_000
 
@@ -64,8 +66,9 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, seed: int = 42, carry: Se
     rows = rows.withColumn("bucket", F.shiftright("hash", 36) * F.lit(buckets).cast("long"))
     rows = rows.withColumn("bucket", F.shiftright("bucket", 16))  # hash / 2^52 * buckets, rounded down
     ranked = global_rank(rows, ["source"], "bucket", within, "rank")
-    sizes = rows.groupBy(F.col("source").alias("sized")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = ranked.join(sizes, ranked["source"].eqNullSafe(sizes["sized"])).drop("sized")
+    sizes = cut(rows.groupBy(F.col("source").alias("sized")).agg(F.count(F.lit(1)).alias("n")))
+    per_source = F.broadcast(sizes) if sizes.count() <= BROADCAST_SOURCES else sizes
+    ranked = ranked.join(per_source, F.col("source").eqNullSafe(F.col("sized"))).drop("sized")
     offset = seeded(seed, F.col("source")) / F.lit(float(1 << 52))
     placed = ranked.withColumn("at", (F.col("rank") - offset) / F.col("n"))
     placed = cut(placed.withColumn("bucket", F.least(F.floor(F.col("at") * buckets), F.lit(buckets - 1))))

@@ -84,6 +84,9 @@ class ByteLevelBpe:
         odd = {"dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"}
         if model["type"] != "BPE" or any(model.get(k) for k in odd) or spec.get("normalizer"):
             raise ValueError("only plain byte-level BPE files are read")
+        split = spec.get("pre_tokenizer") or {}
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True) or (spec.get("post_processor") or {}).get("type", "ByteLevel") != "ByteLevel":
+            raise ValueError("only files that split by the byte-level pattern, without a prefix space, are read")
         self.token_bytes: list[bytes] = [b""] * (max(ids.values()) + 1)
         for token, i in ids.items():
             self.token_bytes[i] = bytes(alphabet[c] for c in token)

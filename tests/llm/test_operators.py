@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm import bpe_lexicon, mixing, pii, posting_lists, quality_knn, quality_rules, sharding, simhash, token_counts, token_output
 from corpuslake.llm.queries import vocabulary
+from corpuslake.llm.vocab import ByteLevelBpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, shard int, fp long, words string, row int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,6 +90,17 @@ def test_bpe_equals_the_library_and_round_trips(odd, empty):
     assert bpe_lexicon.round_trip(empty, path).count() == 0
 
 
+def test_bpe_files_that_split_otherwise_are_refused():
+    import json
+
+    spec = json.loads(open(vocabulary("byte_bpe_50k.json")).read())
+    for change in ({"add_prefix_space": True}, {"use_regex": False}, {"type": "Whitespace"}):
+        other = json.dumps(spec | {"pre_tokenizer": spec["pre_tokenizer"] | change})
+        with pytest.raises(ValueError):
+            ByteLevelBpe(other.encode())
+    assert ByteLevelBpe(json.dumps(spec).encode()).merges
+
+
 def test_lexicon_finds_its_words_and_no_others(tmp_path):
     rng = random.Random(1)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))).encode() for _ in range(400)})
@@ -574,6 +586,7 @@ def test_personal_data_equals_brute_force(spark, empty):
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [None, "", "9" * 5000, "a@" * 3000]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
     for r in rows_of(pii.digests(pii.find_spans(docs))):
+        assert len(r["scores"].split(",")) == len(r["spans"].split(",")) and (r["scores"] == "") == (r["spans"] == "")
         want = brute_spans(texts[r["doc_id"]])
         listed = ",".join(f"{pii.BASE[k]}:{s}:{e}" for s, k, e in want)
         assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
