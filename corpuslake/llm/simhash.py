@@ -163,17 +163,19 @@ def open_pairs(one: Tile, other: Tile, same: bool, radius: int, similarity: floa
         yield at, d
 
 
-def tile_candidates(one: Tile, other: Tile, same: bool, radius: int, similarity: float, most: int) -> list[tuple[int, int]] | None:
-    """Pairs of nodes to confirm, of those within the radius between two tiles; None if they are more than ``most``."""
+def tile_candidates(one: Tile, other: Tile, same: bool, radius: int, similarity: float, most: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of nodes to confirm, of those within the radius between two tiles; if they are more than ``most``, none, but the nodes that are in such pairs."""
     kept: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
+    count, in_one, in_other = 0, np.zeros(len(one.nodes), bool), np.zeros(len(other.nodes), bool)
     for at, d in open_pairs(one, other, same, radius, similarity):
         i, j = np.nonzero(d <= radius)
         count += len(i)
-        if count > most:
-            return None
-        kept.append((one.nodes[i + at], other.nodes[j]))
-    return [pair for i, j in kept for pair in zip(i.tolist(), j.tolist(), strict=True)]
+        in_one[i + at] = in_other[j] = True
+        if count <= most:
+            kept.append((one.nodes[i + at], other.nodes[j]))
+    if count > most:
+        return [], np.union1d(one.nodes[in_one], other.nodes[in_other]).tolist()
+    return [pair for i, j in kept for pair in zip(i.tolist(), j.tolist(), strict=True)], []
 
 
 def tile_confirmed(one: Tile, other: Tile, same: bool, radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -298,7 +300,7 @@ def tile_of(members: pa.Scalar) -> Tile:
 
 
 def compared(nodes: DataFrame, pairs: DataFrame, radius: int, similarity: float, few: int = FEW) -> DataFrame:
-    """A stored table of candidates (src, dst) from the pairs of tiles (PAIR), and a row with PAIR for each pair of tiles that has too many.
+    """A stored table of candidates (src, dst) from the pairs of tiles (PAIR), and a row with PAIR for each pair of tiles that has too many, with the nodes (``crowd``) that they are of.
 
     ``nodes`` is (NODE, cell, part).
     """
@@ -313,12 +315,18 @@ def compared(nodes: DataFrame, pairs: DataFrame, radius: int, similarity: float,
             for row in range(batch.num_rows):
                 at = [batch.column(c)[row].as_py() for c in PAIR]
                 one, other = tile_of(batch.column("members")[row]), tile_of(batch.column("others")[row])
-                links = tile_candidates(one, other, at[:2] == at[2:], radius, similarity, few * (len(one.nodes) + len(other.nodes)))
-                src, dst = ([None] if links is None else [link[i] for link in links] for i in range(2))
-                left = [[x] if links is None else [None] * len(links) for x in at]
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), *(pa.array(x, pa.int32()) for x in left)], ["src", "dst", *PAIR])
+                links, crowd = tile_candidates(one, other, at[:2] == at[2:], radius, similarity, few * (len(one.nodes) + len(other.nodes)))
+                src, dst = ([None] if crowd else [link[i] for link in links] for i in range(2))
+                left = [[x] if crowd else [None] * len(links) for x in at]
+                held = pa.array([crowd] if crowd else [None] * len(links), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), *(pa.array(x, pa.int32()) for x in left), held], ["src", "dst", *PAIR, "crowd"])
+
+    return stored(work.mapInArrow(compare, "src long, dst long, cell int, part int, other int, other_part int, crowd array<long>"), "candidates")
+
 
-    return stored(work.mapInArrow(compare, "src long, dst long, cell int, part int, other int, other_part int"), "candidates")
+def in_crowds(nodes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The nodes that candidates of crowded pairs of tiles are of."""
+    return cut(nodes.join(crowded.select(F.explode("crowd").alias("in_crowd")).distinct(), F.col("node") == F.col("in_crowd"), "left_semi"))
 
 
 def shingle_hashes(texts: DataFrame, width: int) -> DataFrame:
@@ -375,7 +383,7 @@ def similar_components(distinct: DataFrame, texts: DataFrame, width: int = SIMIL
     """
     nodes, pairs = similar_tiles(distinct, similarity, tile)
 
-    def labelled(linked: DataFrame) -> DataFrame:
+    def labelled(nodes: DataFrame, linked: DataFrame) -> DataFrame:
         own = linked.select(F.col("node").alias("linked"), "component")
         return nodes.join(own, F.col("node") == F.col("linked"), "left").withColumn("label", F.coalesce("component", "node")).drop("linked", "component")
 
@@ -385,19 +393,23 @@ def similar_components(distinct: DataFrame, texts: DataFrame, width: int = SIMIL
     found = compared(nodes.withColumn("label", F.col("node")), pairs, radius, similarity, few)
     listed = found.where("src is not null").select("src", "dst").unionByName(small_links(distinct))
     linked = components(confirmed(listed, texts, width, similarity))
-    crowded = found.where("src is null").select(*PAIR)
+    crowded = found.where("src is null").select(*PAIR, "crowd")
+    if crowded.isEmpty():
+        return linked
+    nodes = in_crowds(nodes, crowded)
     beside = (F.col("cell") == F.col("other")) & (F.col("other_part") - F.col("part") <= 1)
     for first in (True, False):
         left = crowded.where(beside == first)
         if left.isEmpty():
             continue
         if not first:
-            again = compared(labelled(linked), left, radius, similarity, few)
+            again = compared(labelled(nodes, linked), left.select(*PAIR), radius, similarity, few)
             linked = joined(linked, confirmed(again.where("src is not null").select("src", "dst"), texts, width, similarity))
-            left = again.where("src is null").select(*PAIR)
+            left = again.where("src is null").select(*PAIR, "crowd")
             if left.isEmpty():
                 continue
-        linked = joined(linked, crowded_links(labelled(linked), left, texts, width, radius, similarity, piece))
+            nodes = in_crowds(nodes, left)
+        linked = joined(linked, crowded_links(labelled(nodes, linked), left.select(*PAIR), texts, width, radius, similarity, piece))
     return linked
 
 

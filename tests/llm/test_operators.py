@@ -403,12 +403,13 @@ def test_tiles_list_pairs_or_confirm_links():
 
     for x, y, same in ((one, other, False), (one, one, True)):
         candidates, confirmed = all_pairs(x, y, same)
-        assert set(simhash.tile_candidates(x, y, same, 30, 0.8, len(candidates))) == candidates and len(candidates) > 500
-        assert simhash.tile_candidates(x, y, same, 30, 0.8, len(candidates) - 1) is None
+        listed, crowd = simhash.tile_candidates(x, y, same, 30, 0.8, len(candidates))
+        assert set(listed) == candidates and len(listed) == len(candidates) > 500 and crowd == []
+        assert simhash.tile_candidates(x, y, same, 30, 0.8, len(candidates) - 1) == ([], sorted({n for pair in candidates for n in pair}))
         links = simhash.tile_confirmed(x, y, same, 30, 0.8)
         assert set(links) <= confirmed and classes(links) == classes(confirmed) and len(links) < len(x.nodes) + len(y.nodes) < len(confirmed)
     joined = simhash.Tile(one.nodes, np.zeros(150, np.int64), one.sizes, one.prints, one.sets)
-    assert simhash.tile_candidates(joined, joined, True, 30, 0.8, 0) == [] == simhash.tile_confirmed(joined, joined, True, 30, 0.8)
+    assert simhash.tile_candidates(joined, joined, True, 30, 0.8, 0) == ([], []) and simhash.tile_confirmed(joined, joined, True, 30, 0.8) == []
 
 
 def test_simhash_links_lose_no_pair(spark, monkeypatch):
