@@ -13,6 +13,7 @@ from corpuslake.sources import intake, synth
 from corpuslake.sources.scratch import cut
 
 from .registry import Query, table
+from .search_queries import BLANKS
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -227,7 +228,26 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(spark, sf_dir)
 
 
-@register("chunk_documents")
+# the greedy packing as recursion: a step takes the next sentence of each paragraph, then the next piece of each document
+CHUNKED_DOCUMENTS = rf"""
+    paras AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n[\t\n\x0b\f\r ]*\n'),
+        lambda x: regexp_replace(x, '^[\n{BLANKS}]+|[\n{BLANKS}]+$', '', 'g')), lambda x: x <> '') AS ps FROM documents)),
+    sents AS (SELECT doc_id, i, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM (SELECT doc_id, i, string_split(regexp_replace(p, '([.!?])[\t\n\x0b\f\r ]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM paras WHERE length(p) > {params.MAX_CHARS})),
+    grown AS (SELECT doc_id, i, k, 1 AS run, s AS t FROM sents WHERE k = 1
+        UNION ALL SELECT g.doc_id, g.i, n.k, CASE WHEN length(g.t) + 1 + length(n.s) <= {params.MAX_CHARS} THEN g.run ELSE g.run + 1 END,
+            CASE WHEN length(g.t) + 1 + length(n.s) <= {params.MAX_CHARS} THEN g.t || ' ' || n.s ELSE n.s END FROM grown g JOIN sents n ON n.doc_id = g.doc_id AND n.i = g.i AND n.k = g.k + 1),
+    pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, run) AS k, t, length(t) + 2 AS cost FROM (
+        SELECT doc_id, i, run, arg_max(t, k) AS t FROM grown GROUP BY doc_id, i, run UNION ALL SELECT doc_id, i, 1, p FROM paras WHERE length(p) <= {params.MAX_CHARS})),
+    placed AS (SELECT doc_id, k, 0 AS c, cost AS size FROM pieces WHERE k = 1
+        UNION ALL SELECT p.doc_id, n.k, CASE WHEN p.size + n.cost > {params.MAX_CHARS} THEN p.c + 1 ELSE p.c END, CASE WHEN p.size + n.cost > {params.MAX_CHARS} THEN n.cost ELSE p.size + n.cost END FROM placed p JOIN pieces n ON n.doc_id = p.doc_id AND n.k = p.k + 1),
+    own AS (SELECT doc_id, c, k, t, sum(cost) OVER (PARTITION BY doc_id, c ORDER BY k DESC) AS back, max(c) OVER (PARTITION BY doc_id) AS most FROM placed JOIN pieces USING (doc_id, k)),
+    held AS (SELECT doc_id, c, k, t FROM own UNION ALL SELECT doc_id, c + 1, k, t FROM own WHERE back <= {params.OVERLAP_CHARS} AND c < most)"""
+
+
+@register(
+    "chunk_documents",
+    f"""WITH RECURSIVE {CHUNKED_DOCUMENTS} SELECT doc_id || ':' || CASE WHEN c < 10000 THEN lpad(c::VARCHAR, 4, '0') ELSE c::VARCHAR END AS chunk_id, doc_id::VARCHAR AS document_id, 1 AS page, string_agg(t, chr(10) || chr(10) ORDER BY k) AS text FROM held GROUP BY doc_id, c""",
+)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of no type: paragraphs, split at sentence ends and packed."""
     docs = table(spark, sf_dir, "documents")

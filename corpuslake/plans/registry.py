@@ -14,12 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import academic_queries, advisor_queries, search_queries, stream_queries
+    from . import academic_queries, advisor_queries, routing_queries, search_queries, stream_queries
 
-    return search_queries.QUERIES | academic_queries.QUERIES | advisor_queries.QUERIES | stream_queries.QUERIES
+    return search_queries.QUERIES | academic_queries.QUERIES | advisor_queries.QUERIES | stream_queries.QUERIES | routing_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import academic_queries, advisor_queries, search_queries, stream_queries
+    from . import academic_queries, advisor_queries, routing_queries, search_queries, stream_queries
 
-    return search_queries.SQL | academic_queries.SQL | advisor_queries.SQL | stream_queries.SQL
+    return search_queries.SQL | academic_queries.SQL | advisor_queries.SQL | stream_queries.SQL | routing_queries.SQL

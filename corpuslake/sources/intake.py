@@ -49,10 +49,31 @@ def extraction_route(text_ratio: Column, forced: str | None = None, least: float
 METADATA_SCHEMA = "title string, author string, subject string, subject_code string, semester int, year int, topics array<string>, subtopics array<string>"
 
 
+#: Fields that must be lists where a reply has them, and what of, as a variant names its type.
+LISTS = {"topics": "STRING", "subtopics": "STRING", "questions": "OBJECT", "chapters": "OBJECT"}
+
+
+def list_error(body: Column) -> Column:
+    """What is wrong with the shape of a reply's lists: the first field, by name, that is not a list of what it should hold; null where all are."""
+    out = F.lit(None).cast("string")
+    for field, kind in sorted(LISTS.items(), reverse=True):
+        value = F.try_variant_get(F.try_parse_json(body), f"$.{field}", "variant")
+        shape = F.schema_of_variant(value)
+        fits = value.isNull() | F.is_variant_null(value) | (shape == "ARRAY<VOID>") | shape.rlike(f"^ARRAY<{kind}(<.*)?>$")
+        out = F.when(~fits, F.lit(f"{field} is not a list of {'strings' if kind == 'STRING' else 'objects'}")).otherwise(out)
+    return out
+
+
 def parse_replies(replies: DataFrame, schema: str = METADATA_SCHEMA) -> DataFrame:
-    """(document_id, reply, error) from (document_id, raw): the object between the first and last brace, without fences, read by the schema."""
+    """(document_id, reply, error) from (document_id, raw, ...): the object between the first and last brace, without fences, read by the schema.
+
+    Lists of another shape are an error. Where ``replies`` has a column ``document_type`` and the schema
+    that field, it takes the place of what the reply says.
+    """
     body = F.regexp_extract(F.coalesce("raw", F.lit("")), r"(?s)(\{.*\})", 1)
     rows = replies.withColumn("body", body).withColumn("parsed", F.from_json("body", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    error = F.when(F.col("body") == "", "no JSON object").when(F.col("parsed._corrupt").isNotNull(), "malformed or mistyped JSON")
-    fields = F.when(error.isNull(), F.col("parsed").dropFields("_corrupt"))
-    return rows.select("document_id", fields.alias("reply"), error.alias("error"))
+    error = F.when(F.col("body") == "", "no JSON object").when(F.col("parsed._corrupt").isNotNull() & list_error(F.col("body")).isNull(), "malformed or mistyped JSON").otherwise(list_error(F.col("body")))
+    fields = F.col("parsed").dropFields("_corrupt")
+    if "document_type" in replies.columns and "document_type" in replies.sparkSession.createDataFrame([], schema).columns:
+        fields = fields.withField("document_type", F.col("document_type"))
+    return rows.withColumn("error", error).select("document_id", F.when(F.col("error").isNull(), fields).alias("reply"), "error")
