@@ -90,6 +90,7 @@ def measurable(vector: str) -> Column:
 def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     """Vectors of one dimension as the rows of a matrix, each of length 1."""
     v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # so that no square is too great or too small
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -154,15 +155,16 @@ def dense_topk(
 
     Up to PART_QUERIES questions are broadcast, and each task keeps its own k best of each, so that
     no row is shuffled; more questions meet the rows in blocks. Vectors take part if they have a
-    direction (see :func:`measurable`) and the questions' dimension; rows without id don't.
+    direction (see :func:`measurable`) and the dimension of most questions (the greater at a tie), questions
+    and rows alike; rows without id don't.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     asked = queries.select("query_id", "vector").where(measurable("vector"))
-    n_asked, low, dim = asked.agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
-    if low != dim:
-        raise ValueError("questions are of several dimensions")
-    usable = rows.where(F.col(id_col).isNotNull() & (F.size(vector_col) == (dim or 0)) & measurable(vector_col)).select(id_col, *groups, vector_col)
+    dims = asked.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "dim")).alias("most")).first()["most"]
+    n_asked, dim = (dims["n"], dims["dim"]) if dims else (0, 0)
+    asked = asked.where(F.size("vector") == dim)
+    usable = rows.where(F.col(id_col).isNotNull() & (F.size(vector_col) == dim) & measurable(vector_col)).select(id_col, *groups, vector_col)
     kept = {"query_id": queries.schema["query_id"].dataType} | {g: rows.schema[g].dataType for g in groups} | {"id": rows.schema[id_col].dataType}
     types = "".join(f"{name} {kind.simpleString()}, " for name, kind in kept.items()) + "score double"
     schema = pa.schema([*((name, to_arrow_type(kind)) for name, kind in kept.items()), ("score", pa.float64())])

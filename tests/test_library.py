@@ -309,3 +309,10 @@ def test_recommendation_from_question_to_books(spark):
         (2, 0, None, True, None, None, None),
         (3, 0, None, True, None, None, None),
     ]
+
+
+def test_dense_search_of_extreme_vectors_and_other_dimensions(spark):
+    asked = spark.createDataFrame([(1, [1e-170, 0.0]), (2, [1e200, 1e200]), (3, [0.0, 3.0]), (4, [1.0, 2.0, 3.0])], "query_id long, vector array<double>")
+    rows = spark.createDataFrame([(10, [1.0, 0.0]), (11, [1e250, 1e250]), (12, [0.0, 1e-300]), (13, [1.0]), (14, [1.0, 0.0, 0.0]), (15, [-1e-200, 0.0])], "vec_id long, embedding array<double>")
+    out = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in dense.dense_topk(asked, rows, 1).collect()}
+    assert out == {(1, 1): (10, 1.0), (2, 1): (11, 1.0), (3, 1): (12, 1.0)}  # the question of another dimension has no hits, as rows of one take no part
