@@ -62,11 +62,28 @@ def roman_to_int(value: Column) -> Column:
     return F.when(F.upper(value).rlike("^[IVXLC]+$"), F.nullif(total, F.lit(0)))
 
 
+# fixed values: where a document says what it is about, by field
+SEMESTER_NUMERAL = r"(?i)\bSemester\s+([IVXLC]+)\b"
+SEMESTER_DIGITS = r"\bSemester\s+([0-9]{1,2})\b"
+SEMESTER_ORDINAL = r"(?i)\b([0-9]{1,2})\s*(?:st|nd|rd|th)\s+Semester\b"
+YEAR = r"\b(1[89]\d{2}|20\d{2})\b"
+ACADEMIC_YEAR = r"\b(20\d{2})\s?[/\-]\s?(\d{2,4})\b(?!\s?-\s?\d{1,2}\b)"
+SUBJECT_CODE = r"\b([A-Z]{2,6})\s?[-–]?\s?(\d{3})\b"
+MARKS_AFTER_WORD = r"\b(?:Marks?|marks)\s*[:=]?\s*(\d{1,3})\b"
+MARKS_BEFORE_WORD = r"\b(\d{1,3})\s*(?:Marks?|marks)\b"
+UNIVERSITY_NAME = r"(?i)([A-Z][A-Za-z .&'’-]{2,40}\s+University)"
+AUTHOR_LINE = r"(?i)^(?:by|author)\s*[:]?\s*([A-Za-z][A-Za-z .'&,-]{3,60})$"
+SYLLABUS_HEAD = r"(?im)^(.+?)\s+(?:Syllabus|Curriculum|Course)\b"
+NUMBERS_IN_BRACKETS = r"^[\d\s.:/\-–—()]+$"
+NUMBERS_ONLY = r"^[\d\s.:/\-–—]+$"
+NOTICE_SUBJECT = r"(?im)^(?:Subject|Sub)\s*[:.]?\s*(.+)$"
+
+
 def semester(text: Column) -> Column:
     """The semester named most often, numerals first, then digits, ordinals and words; the first met at a tie."""
-    numerals = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bSemester\s+([IVXLC]+)\b"), 1), roman_to_int)
-    digits = F.regexp_extract_all(text, F.lit(r"\bSemester\s+([0-9]{1,2})\b"), 1).cast("array<int>")
-    ordinals = F.regexp_extract_all(text, F.lit(r"(?i)\b([0-9]{1,2})\s*(?:st|nd|rd|th)\s+Semester\b"), 1).cast("array<int>")
+    numerals = F.transform(F.regexp_extract_all(text, F.lit(SEMESTER_NUMERAL), 1), roman_to_int)
+    digits = F.regexp_extract_all(text, F.lit(SEMESTER_DIGITS), 1).cast("array<int>")
+    ordinals = F.regexp_extract_all(text, F.lit(SEMESTER_ORDINAL), 1).cast("array<int>")
     names = F.transform(
         F.regexp_extract_all(text, F.lit(rf"(?i)\b({'|'.join(ORDINALS)})\s+Semester\b"), 1), lambda w: F.array_position(F.array(*map(F.lit, ORDINALS)), F.lower(w)).cast("int")
     )
@@ -76,28 +93,26 @@ def semester(text: Column) -> Column:
 
 
 def year(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"\b(1[89]\d{2}|20\d{2})\b"), 1).cast("array<int>")
+    found = F.regexp_extract_all(text, F.lit(YEAR), 1).cast("array<int>")
     return F.get(F.filter(found, lambda y: y.between(1900, 2100)), F.lit(0))
 
 
 def academic_year(text: Column) -> Column:
-    pattern = r"\b(20\d{2})\s?[/\-]\s?(\d{2,4})\b(?!\s?-\s?\d{1,2}\b)"
-    return F.concat(first_match(text, pattern, 1), F.lit("/"), first_match(text, pattern, 2))
+    return F.concat(first_match(text, ACADEMIC_YEAR, 1), F.lit("/"), first_match(text, ACADEMIC_YEAR, 2))
 
 
 def subject_code(text: Column) -> Column:
-    pattern = r"\b([A-Z]{2,6})\s?[-–]?\s?(\d{3})\b"
-    return F.concat(first_match(text, pattern, 1), F.lit("-"), first_match(text, pattern, 2))
+    return F.concat(first_match(text, SUBJECT_CODE, 1), F.lit("-"), first_match(text, SUBJECT_CODE, 2))
 
 
 def marks(text: Column) -> Column:
-    return F.coalesce(first_match(text, r"\b(?:Marks?|marks)\s*[:=]?\s*(\d{1,3})\b", 1), first_match(text, r"\b(\d{1,3})\s*(?:Marks?|marks)\b", 1)).cast("int")
+    return F.coalesce(first_match(text, MARKS_AFTER_WORD, 1), first_match(text, MARKS_BEFORE_WORD, 1)).cast("int")
 
 
 def university(text: Column, names: Sequence[str] = ()) -> Column:
     """A name of the list that the text holds, in the list's order, else what stands before the word University."""
     listed = [F.when(text.contains(n), F.lit(n.strip())) for n in names if n]
-    return F.coalesce(*listed, F.trim(collapse(first_match(text, r"(?i)([A-Z][A-Za-z .&'’-]{2,40}\s+University)", 1))))
+    return F.coalesce(*listed, F.trim(collapse(first_match(text, UNIVERSITY_NAME, 1))))
 
 
 def program(text: Column) -> Column:
@@ -105,31 +120,31 @@ def program(text: Column) -> Column:
 
 
 def author(text: Column) -> Column:
-    found = F.transform(lines(text), lambda x: first_match(x, r"(?i)^(?:by|author)\s*[:]?\s*([A-Za-z][A-Za-z .'&,-]{3,60})$", 1))
+    found = F.transform(lines(text), lambda x: first_match(x, AUTHOR_LINE, 1))
     return strip(collapse(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))))
 
 
 def syllabus_subject(text: Column) -> Column:
-    heads = F.transform(F.regexp_extract_all(text, F.lit(r"(?im)^(.+?)\s+(?:Syllabus|Curriculum|Course)\b"), 1), clean_title)
+    heads = F.transform(F.regexp_extract_all(text, F.lit(SYLLABUS_HEAD), 1), clean_title)
     return F.get(F.filter(heads, lambda t: F.size(F.split(t, " ")) >= 2), F.lit(0))
 
 
 def past_paper_subject(text: Column) -> Column:
     def fits(x: Column) -> Column:
-        return F.length(x).between(5, 80) & ~x.rlike(r"^[\d\s.:/\-–—()]+$") & ~x.rlike(SKIP_SUBJECT) & (F.regexp_count(x, F.lit("[A-Za-z]")) >= 5)
+        return F.length(x).between(5, 80) & ~x.rlike(NUMBERS_IN_BRACKETS) & ~x.rlike(SKIP_SUBJECT) & (F.regexp_count(x, F.lit("[A-Za-z]")) >= 5)
 
     return F.regexp_replace(collapse(F.get(F.filter(lines(text), fits), F.lit(0))), r"^[ .:\-]+|[ .:\-]+$", "")
 
 
 def first_substantial_line(text: Column) -> Column:
     def fits(x: Column) -> Column:
-        return x.rlike(r"\S\s+\S") & (F.length(x) <= 200) & ~x.rlike(r"^[\d\s.:/\-–—]+$") & x.rlike("[A-Za-z]")
+        return x.rlike(r"\S\s+\S") & (F.length(x) <= 200) & ~x.rlike(NUMBERS_ONLY) & x.rlike("[A-Za-z]")
 
     return F.get(F.filter(lines(text), fits), F.lit(0))
 
 
 def notice_subject(text: Column) -> Column:
-    return clean_title(first_match(text, r"(?im)^(?:Subject|Sub)\s*[:.]?\s*(.+)$", 1))
+    return clean_title(first_match(text, NOTICE_SUBJECT, 1))
 
 
 def question_topic(text: Column) -> Column:

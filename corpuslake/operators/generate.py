@@ -18,6 +18,12 @@ NO_HEADING = (
     r"|text\s*books?|prerequisites?|evaluation|assessment|grading|teaching\s+hours|lab|lectures?|question\s+paper|bachelor|level|syllabus|curriculum)"
 )
 
+# fixed values: lines that head a unit, a chapter, a line of the contents, a section
+UNIT_LINE = r"(?im)^{}\s+([IVXLC\d]+)\s*[:.\-]?\s*(.*)$"
+CHAPTER_LINE = r"(?i)^Chapter\s+(\d+|[IVXLC]+)\s*[:.\-]?\s*(.*)$"
+CONTENTS_LINE = r"^(?:Chapter\s+)?(\d+)\s*[:.]?\s+([A-Z][A-Za-z &'.,:/-]{2,60}?)\s*\.\.+\s*\d+\s*$"
+SECTION_LINE = r"^(\d+\.\d+(?:\.\d+)?)\s+(.*)$"
+
 
 def questions(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """(document_id, pos, question_number, text, marks): numbered questions with the lines that continue them."""
@@ -49,7 +55,7 @@ def syllabus_topics(text: Column) -> Column:
     """Titles of Unit headings, else of Module headings, else heading-like lines; distinct, in order."""
 
     def titled(kind: str) -> Column:
-        found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?im)^{kind}\s+([IVXLC\d]+)\s*[:.\-]?\s*(.*)$"), 2), clean_title)
+        found = F.transform(F.regexp_extract_all(text, F.lit(UNIT_LINE.format(kind)), 2), clean_title)
         return F.array_distinct(F.filter(found, lambda t: t.isNotNull()))
 
     units, modules = titled("Unit"), titled("Module")
@@ -59,7 +65,7 @@ def syllabus_topics(text: Column) -> Column:
 def chapters(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """(document_id, pos, chapter_number, title): headings in the body first, then lines of the contents; distinct by number and title."""
     rows = docs.select(F.col(id_col).alias("document_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("at", "line"))
-    body, toc = r"(?i)^Chapter\s+(\d+|[IVXLC]+)\s*[:.\-]?\s*(.*)$", r"^(?:Chapter\s+)?(\d+)\s*[:.]?\s+([A-Z][A-Za-z &'.,:/-]{2,60}?)\s*\.\.+\s*\d+\s*$"
+    body, toc = CHAPTER_LINE, CONTENTS_LINE
     n = F.regexp_extract("line", body, 1)
     heads = rows.where(F.col("line").rlike(body)).select(
         "document_id", F.lit(0).alias("part"), "at", F.when(n.rlike(r"^\d+$"), n.try_cast("int")).otherwise(roman_to_int(n)).alias("chapter_number"), clean_title(F.regexp_extract("line", body, 2)).alias("title")
@@ -77,7 +83,7 @@ def chapters(docs: DataFrame, id_col: str = "document_id", text_col: str = "text
 def subtopics(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """(document_id, pos, key, title): numbered subsections; the later title wins on a repeated key, at the place of the first."""
     rows = docs.select(F.col(id_col).alias("document_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("at", "line"))
-    pattern = r"^(\d+\.\d+(?:\.\d+)?)\s+(.*)$"
+    pattern = SECTION_LINE
     found = rows.select("document_id", "at", first_match(F.col("line"), pattern, 1).alias("key"), clean_title(first_match(F.col("line"), pattern, 2)).alias("title"))
     grouped = found.where("key is not null and title is not null").groupBy("document_id", "key").agg(F.min("at").alias("pos"), F.max_by("title", "at").alias("title"))
     return grouped.select("document_id", "pos", "key", "title")

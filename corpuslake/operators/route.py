@@ -42,10 +42,14 @@ UNIVERSITY = (
 )
 
 
+# fixed values: names that are none, digits alone or a letter with digits
+NO_NAME = (r"^\d+$", r"^[A-Za-z]\d{1,3}$")
+
+
 def clean_entity(value: Column) -> Column:
     """A captured name; null for digits alone and for a letter with digits."""
     name = F.trim(F.regexp_replace(F.trim(value), r"^[?.]+|[?.]+$", ""))
-    return F.when((name != "") & ~name.rlike(r"^\d+$") & ~name.rlike(r"^[A-Za-z]\d{1,3}$"), name)
+    return F.when((name != "") & ~name.rlike(NO_NAME[0]) & ~name.rlike(NO_NAME[1]), name)
 
 
 def rule_verdicts(queries: DataFrame) -> DataFrame:
