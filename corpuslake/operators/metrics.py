@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,10 +132,51 @@ def word_recall(extracted: Column, truth: Column) -> Column:
     return F.when(F.size(wanted) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(wanted, words(extracted))) / F.size(wanted))
 
 
+#: Texts up to so many characters are compared by Spark's own function, in the product of their lengths.
+SHORT_TEXT = 256
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Insertions, deletions and replacements of characters between two texts, with a column of the table as the bits of one number.
+
+    What the texts begin and end with alike is left out. For the rest, each character of the longer takes time in proportion to the
+    shorter's length over the word size; nothing is held but numbers of as many bits as that has characters.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    first = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    a, b = a[first:], b[first:]
+    last = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), len(a))
+    a, b = a[: len(a) - last], b[: len(b) - last]
+    if not a:
+        return len(b)
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
+    every, top, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = every, 0  # rows where the column rises and falls by one
+    for char in b:
+        same = at.get(char, 0)
+        level = same | down
+        carried = (((same & up) + up) ^ up) | same
+        rises, falls = down | (every & ~(carried | up)), up & carried
+        distance += bool(rises & top) - bool(falls & top)
+        rises, falls = (rises << 1 | 1) & every, falls << 1 & every
+        up, down = falls | (every & ~(level | rises)), rises & level
+    return distance
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """One minus the edit distance over the longer length; 1 for two empty texts."""
+    """One minus the edit distance over the longer length; 1 for two empty texts. Long texts go through :func:`edit_distance`, batch by batch."""
+
+    def distances(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(left, right, strict=True)], dtype="Int64")
+
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+    long = longest > SHORT_TEXT
+    # where a text is long the other function gets nulls, and the other way round
+    slow = F.pandas_udf(distances, "long")(F.when(long, a), F.when(long, b))
+    edits = F.when(long, slow).otherwise(F.levenshtein(F.when(~long, a), F.when(~long, b)).cast("long"))
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - edits / longest)
 
 
 def quoted_answer(body: Column, max_chars: int = 400) -> Column:

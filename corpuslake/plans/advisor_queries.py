@@ -14,7 +14,7 @@ from corpuslake.sources.scratch import cut
 
 from .academic_queries import GRAPH_SQL, SYLLABI, pages_of, stored_graph, structured, typed
 from .registry import Query, table
-from .search_queries import BM25_CTES, DENSE_CTES, WORDS, questions
+from .search_queries import BM25_CTES, BYTEWISE, DENSE_CTES, WORDS, questions
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -74,17 +74,17 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", metrics.citations_valid(F.coalesce(answer, F.lit("")), F.lit(2)).alias("valid"))
 
 
-# the extracted text of a turn is what is left of it in ASCII; DuckDB counts edits in bytes, so the truth has one byte for each other character
+# the extracted text of a turn is what is left of it in ASCII
 @register(
     "extraction_quality",
-    r"""WITH t AS (SELECT CASE WHEN length(trim(coalesce(text, ''))) >= 100 THEN 'text' ELSE 'ocr' END AS extraction_method, regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', '', 'g') AS e, regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', '?', 'g') AS g FROM conversations),
-    w AS (SELECT extraction_method, CASE WHEN greatest(length(e), length(g)) = 0 THEN 1e0 ELSE 1 - levenshtein(e, g) / greatest(length(e), length(g)) END AS s, list_distinct(regexp_extract_all(lower(g), '[a-z0-9]+')) AS gw, list_distinct(regexp_extract_all(lower(e), '[a-z0-9]+')) AS ew FROM t)
+    rf"""WITH t AS (SELECT CASE WHEN length(trim(coalesce(text, ''))) >= 100 THEN 'text' ELSE 'ocr' END AS extraction_method, regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', '', 'g') AS e, coalesce(text, '') AS g, {BYTEWISE.format("coalesce(text, '')")} AS b FROM conversations),
+    w AS (SELECT extraction_method, CASE WHEN greatest(length(e), length(g)) = 0 THEN 1e0 ELSE 1 - levenshtein(e, b) / greatest(length(e), length(g)) END AS s, list_distinct(regexp_extract_all(lower(g), '[a-z0-9]+')) AS gw, list_distinct(regexp_extract_all(lower(e), '[a-z0-9]+')) AS ew FROM t)
     SELECT extraction_method, count(*) AS n, round(avg(s), 4) AS character_accuracy, round(avg(CASE WHEN len(gw) = 0 THEN 1e0 ELSE len(list_intersect(gw, ew)) / len(gw) END), 4) AS word_recall FROM w GROUP BY extraction_method""",
 )
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.coalesce("text", F.lit(""))
     method = intake.extraction_route(F.when(F.length(F.trim(said)) >= 100, 1.0).otherwise(0.0))
-    rows = table(spark, sf_dir, "conversations").select(method.alias("extraction_method"), F.regexp_replace(said, r"[^\x00-\x7f]", "").alias("extracted"), F.regexp_replace(said, r"[^\x00-\x7f]", "?").alias("truth"))
+    rows = table(spark, sf_dir, "conversations").select(method.alias("extraction_method"), F.regexp_replace(said, r"[^\x00-\x7f]", "").alias("extracted"), said.alias("truth"))
     return metrics.extraction_quality(rows)
 
 

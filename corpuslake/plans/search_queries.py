@@ -344,15 +344,19 @@ def word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round(metrics.word_recall(text.clean_text(F.col("text")), F.col("text")), 6).alias("recall"))
 
 
-# DuckDB counts edits in bytes, so other characters are first made one each
+#: DuckDB counts edits in bytes: letters beyond ASCII, one by one, as control characters, and what is left as one mark each.
+ACCENTED = "".join(map(chr, [0xC4, 0xC7, 0xC8, 0xC9, 0xCA, 0xCD, 0xD1, 0xD3, 0xD6, 0xDC, 0xDF, 0xE4, 0xE7, 0xE8, 0xE9, 0xEA, 0xED, 0xF1, 0xF3, 0xF6, 0xFC]))
+BYTEWISE = "translate({0}, '" + ACCENTED + "', " + " || ".join(f"chr({i + 1 if i < 8 else i + 6})" for i in range(len(ACCENTED))) + ")"
+
+
 @register(
     "text_similarity",
-    r"""WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '[^\x00-\x7f]', '?', 'g') AS a FROM conversations)
+    f"""WITH t AS (SELECT conv_id, turn, role, {BYTEWISE.format("text")} AS a FROM conversations)
     SELECT conv_id, turn, round(CASE WHEN greatest(length(a), length(role)) = 0 THEN 1e0 ELSE 1 - levenshtein(a, role) / greatest(length(a), length(role)) END, 6) AS similarity FROM t""",
 )
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", r"[^\x00-\x7f]", "?")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(metrics.similarity(plain, F.col("role")), 6).alias("similarity"))
+    """How alike each turn's text, as it is, and its role are."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(metrics.similarity(F.col("text"), F.col("role")), 6).alias("similarity"))
 
 
 @register("mask_sensitive", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'password|secret|token|api_key|authorization') THEN '***' ELSE md5(text) END AS shown FROM documents")
