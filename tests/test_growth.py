@@ -2,7 +2,9 @@
 
 import random
 
-from corpuslake.operators import graph, route
+import numpy as np
+
+from corpuslake.operators import coverage, graph, route
 
 
 def plan_of(df):
@@ -19,3 +21,22 @@ def test_questions_are_not_broadcast_to_the_rules(spark, tmp_path, monkeypatch):
         out = route.first_rule(asked, rules)
         assert "BuildLeft" not in plan_of(out)
         assert dict(map(tuple, out.collect())) == want
+
+
+def test_books_of_equal_scores_are_looked_for_in_the_first_block_alone(spark, monkeypatch):
+    blocks = {}
+    for b in range(10):
+        blocks[b] = coverage.Matrix()
+        blocks[b].add("topic", "common", np.array([0]), np.array([1 << (b % 4)], np.uint64))
+    best, left = coverage.best_in_blocks(["common"], [], blocks, 1, coverage.Scores(0.85, 0.15), by_title=True)
+    assert [b[2:4] for b in best] == [(0, 0)] and left == 9
+    best, left = coverage.best_in_blocks(["common"], [], blocks, 2, coverage.Scores(0.85, 0.15), by_title=True)
+    assert [b[2:4] for b in best] == [(0, 0), (1, 1)] and left == 8
+    # books of many blocks, all alike: the first titles win, those without a title first of all
+    monkeypatch.setattr(coverage, "BLOCK_BOOKS", 64)
+    order = random.Random(4).sample(range(700), 700)
+    titles = spark.createDataFrame([(f"b{i:03}", f"Title {i // 2:03}" if i else None) for i in order], "document_id string, title string")
+    held = spark.createDataFrame([(f"b{i:03}", "topic", "sorting") for i in range(700)], "document_id string, kind string, name string")
+    asked = spark.createDataFrame([(q, "topic", "sorting", 1) for q in range(20)], "query_id int, kind string, name string, pos int")
+    out = coverage.best_books(asked, held, titles, 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["document_id"]) for r in out) == [(q, rank, f"b{rank - 1:03}") for q in range(20) for rank in (1, 2, 3)]
