@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from corpuslake.operators import coverage, graph, route
+from pyspark.sql import functions as F
+
+from corpuslake.operators import classify, coverage, graph, route
 
 
 def plan_of(df):
@@ -40,3 +42,27 @@ def test_books_of_equal_scores_are_looked_for_in_the_first_block_alone(spark, mo
     asked = spark.createDataFrame([(q, "topic", "sorting", 1) for q in range(20)], "query_id int, kind string, name string, pos int")
     out = coverage.best_books(asked, held, titles, 3).collect()
     assert sorted((r["query_id"], r["rank"], r["document_id"]) for r in out) == [(q, rank, f"b{rank - 1:03}") for q in range(20) for rank in (1, 2, 3)]
+
+
+def test_neighbours_are_looked_up_once_however_often_they_are_asked_for(spark):
+    nodes = spark.createDataFrame([("Topic", "t", "T"), *(("PastQuestion", f"q{i:03}", f"Explain {i % 7}") for i in range(300))], "label string, key string, name string")
+    edges = spark.createDataFrame([("ABOUT", "PastQuestion", f"q{i:03}", "Topic", "t") for i in range(300)], "type string, start_label string, start_key string, end_label string, end_key string")
+    plans = spark.createDataFrame([(q, "questions_about_topic", " T ", None) for q in range(200)] + [(200, "questions_about_topic", "none", None), (201, None, "t", None)], "query_id int, intent string, entity string, semester int")
+    ends = plans.select("intent", F.lower(F.trim("entity")).alias("near"))
+    assert graph.reached(ends, nodes, edges).count() == 300  # not 200 * 300
+    assert graph.reached(ends, nodes, edges, 3).count() == 3
+    out = graph.graph_hits(plans, nodes, edges, 3).select("query_id", "rank", "key").collect()
+    want = sorted((f"Explain {i % 7}", f"q{i:03}") for i in range(300))[:3]
+    assert sorted(map(tuple, out)) == [(q, n, key) for q in range(200) for n, (_, key) in enumerate(want, 1)]
+
+
+def test_patterns_are_tried_wherever_they_can_occur(spark):
+    texts = ["", "SYLLABUS of mArKs: q 7", "Kİndly Kindly Kindly", "course  Outcome", "Code of\nConduct, re-admission; Re: x", "table of contents; University of X", "date : max marks unit 4 exam"]
+    texts += [w.replace("\\b", " ").replace("\\s+", " ").replace("\\d", "7").replace("\\s*", "").replace("?", "") for found in classify.FEATURES.values() for w, _ in found]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    plain = F.struct(*(sum((F.when(F.col("t").rlike(f"(?i){p}"), w).otherwise(0) for p, w in found), start=F.lit(0)).alias(kind) for kind, found in classify.FEATURES.items()))
+    rows = df.select("t", classify.scores(F.col("t")).alias("s"), plain.alias("p"), classify.pick_type(classify.scores(F.col("t"))).alias("kind")).collect()
+    for r in rows:
+        assert r["s"] == r["p"]
+        top = max(r["p"])
+        assert r["kind"] == ("unknown" if top < 3 else next(k for k in classify.PRIORITY if r["p"][k] == top))
