@@ -1,12 +1,14 @@
 """Queries whose cost must not grow faster than their tables."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from corpuslake.operators import classify, coverage, graph, route
+from corpuslake.operators import classify, coverage, dense, graph, route
 
 
 def plan_of(df):
@@ -66,3 +68,19 @@ def test_patterns_are_tried_wherever_they_can_occur(spark):
         assert r["s"] == r["p"]
         top = max(r["p"])
         assert r["kind"] == ("unknown" if top < 3 else next(k for k in classify.PRIORITY if r["p"][k] == top))
+
+
+def test_many_questions_of_a_search_are_compared_in_slices():
+    rng = np.random.default_rng(3)
+    unit, rows = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(4096, 8)), rng.normal(size=(2048, 8))))
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    nearest = dense.Nearest(pa.array(np.arange(4096)), unit, 5, schema)
+    tracemalloc.start()
+    nearest.add(pa.array(np.arange(2048)), [], rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all questions at once: 4096 * 1024 numbers of 8 bytes, several times
+    scores, found = nearest.held[()]
+    whole = np.rint(unit @ rows.T * 1e6).astype(np.int64)
+    best = np.lexsort((np.broadcast_to(np.arange(2048), whole.shape), -whole), axis=1)[:, :5]
+    assert np.array_equal(found, best) and np.array_equal(scores, np.take_along_axis(whole, best, 1))
