@@ -39,17 +39,17 @@ def register(name: str, sql: str | None = None):
 def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The router's branch for questions that hold an exact name or number: words and vectors fused, over chunks of syllabi."""
     asked = synth.questions(spark, sf_dir)
-    chunks = syllabus_chunks(spark, sf_dir).select("chunk_id", "text")
+    chunks = cut(syllabus_chunks(spark, sf_dir).select("chunk_id", "text"))  # both searches read it
 
     def hybrid(some: DataFrame) -> DataFrame:
-        mine = some.select("query_id").join(asked.select("query_id", "text"), "query_id")
+        mine = some.select("query_id", "text")
         vectors = dense.embed(mine, id_col="query_id").withColumnRenamed("doc_id", "query_id")
         pool = fuse.pool_size(5)
         near = dense.dense_topk(vectors, dense.embed(chunks, id_col="chunk_id"), pool, id_col="doc_id", vector_col="vector").where("score > 0").withColumnRenamed("id", "doc_id")
         words = bm25.bm25_topk(mine, chunks, pool, id_col="chunk_id")
         return fuse.rerank(fuse.fuse(near, words), 5).select("query_id", "rank", F.col("doc_id").alias("key"), "score", F.lit("hybrid").alias("method"))
 
-    return route.dispatch(route.plan(asked), {"HYBRID": hybrid})
+    return route.dispatch(route.plan(asked), {"HYBRID": lambda some: route.once_per_text(some, hybrid)})
 
 
 @register(
