@@ -116,11 +116,8 @@ def edge_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def neighbours_of_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes are one edge of any kind away from each subject, each way."""
-    nodes, edges = stored_graph(spark, sf_dir)
-    edges = cut(edges)  # read each way
-    starts = nodes.where("label = 'Subject'").select(F.col("key").alias("query_id"), "label", "key")
-    ways = [graph.neighbours(edges, starts, outgoing).withColumn("way", F.lit(way)) for outgoing, way in ((True, "out"), (False, "in"))]
-    return ways[0].unionByName(ways[1]).groupBy(F.col("query_id").alias("subject"), "way").agg(F.count(F.lit(1)).alias("n"))
+    edges = stored_graph(spark, sf_dir, graph.kinds_at("Subject"))[1]
+    return graph.degrees(edges, "Subject").select(F.col("key").alias("subject"), "way", "n")
 
 
 @register(
